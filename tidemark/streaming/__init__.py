@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this library is batch.
+
+Late data is handled by the availability cutoff of ``operators.asof`` and by the
+label run-out of ``plans.cohort``, not by watermarks.
+"""
