@@ -108,6 +108,11 @@ def scan_in_order(
     return linked.withColumns(out).select(*kept)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row result as scalar subqueries."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], fraction: float) -> DataFrame:
     """Linearly interpolated quantile of every column, as rows ``(name, value)``.
 

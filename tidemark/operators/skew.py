@@ -36,47 +36,52 @@ def salted_join(
     keys: list[str],
     condition: Column | None = None,
     hot: list[tuple] | None = None,
+    *,
+    hot_on: list[str] | None = None,
+    how: str = "inner",
     rows_per_salt: int | None = None,
 ) -> DataFrame:
-    """Inner equi-join that spreads the hot keys of ``big`` over several tasks.
+    """Equi-join that spreads the hot keys of ``big`` over several tasks.
 
     ``small`` must hold few rows per key (index dates of a patient, landmarks of a
     prescriber); only its hot rows are replicated. Without hot keys it is a plain join.
-    ``big`` and ``small`` share only the key names; ``condition`` is the residual.
+    ``hot`` lists hot values of ``hot_on`` (default: of ``keys``) with their row counts.
+    ``big`` and ``small`` share only the key names; ``condition`` is the residual. ``how``
+    may be ``inner`` or ``left``: a row of ``big`` has exactly one salt, so it meets every
+    matching row of ``small`` once.
     """
-    hot = hot_keys(big, keys) if hot is None else hot
+    hot_on = hot_on or keys
+    hot = hot_keys(big, hot_on) if hot is None else hot
     if not hot:
-        joined = _equi(big, small, keys, condition)
-        return joined
-    spark = big.sparkSession
+        return _equi(big, small, keys, condition, how)
     per = rows_per_salt or HOT_ROWS
-    types = ", ".join(f"{k} {big.schema[k].dataType.simpleString()}" for k in keys)
-    table = spark.createDataFrame(
-        [(*row[:-1], max(2, -(-row[-1] // per))) for row in hot], f"{types}, _salts int"
+    types = ", ".join(f"{k} {big.schema[k].dataType.simpleString()}" for k in hot_on)
+    table = F.broadcast(
+        big.sparkSession.createDataFrame(
+            [(*row[:-1], max(2, -(-row[-1] // per))) for row in hot], f"{types}, _salts int"
+        )
     )
-    spread = F.pmod(F.xxhash64(*[c for c in big.columns if c not in keys]), F.col("_salts"))
+    spread = F.pmod(F.xxhash64(*[c for c in big.columns if c not in hot_on]), F.col("_salts"))
     left = (
-        big.join(F.broadcast(table), keys, "left")
+        big.join(table, hot_on, "left")
         .withColumn("_salt", F.coalesce(spread.cast("int"), F.lit(0)))
         .drop("_salts")
     )
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = (
-        small.join(F.broadcast(table), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)),
-        )
-        .drop("_salts")
+        small.join(table, hot_on, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
     )
-    return _equi(left, right, [*keys, "_salt"], condition).drop("_salt")
+    return _equi(left, right, [*keys, "_salt"], condition, how).drop("_salt")
 
 
-def _equi(left: DataFrame, right: DataFrame, keys: list[str], condition: Column | None):
+def _equi(
+    left: DataFrame, right: DataFrame, keys: list[str], condition: Column | None, how: str
+) -> DataFrame:
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = reduce(Column.__and__, [F.col(k) == F.col(f"_r_{k}") for k in keys])
     if condition is not None:
         on = on & condition
-    return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 # Dimensions up to this many rows are broadcast (about 100 bytes a row).
