@@ -173,11 +173,13 @@ def sequence_violations(
         ),
         lambda x: x,
     )
+
+    def outside(key: str, size: int) -> Column:
+        return F.exists(real(f"{key}_ids"), lambda i: (i < 0) | (i >= size))
+
     bad_token = F.lit(False)
     for key, size in vocabulary_sizes.items():
-        bad_token = bad_token | F.exists(
-            real(f"{key}_ids"), lambda i, n=size: (i < 0) | (i >= n)
-        )
+        bad_token = bad_token | outside(key, size)
     dates = real("event_dates")
     unordered = F.exists(
         F.zip_with(

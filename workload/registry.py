@@ -372,15 +372,12 @@ def _(spark, sf):
     """Channel sums over the zipped model input."""
     out, _ = encoded(spark, sf)
     zipped = sequence_split(out)
-    return zipped.select(
-        "snapshot_id",
-        *[
-            F.aggregate(
-                "values", F.lit(0).cast("bigint"), lambda a, v, i=i: a + v[i].cast("bigint")
-            ).alias(f"channel_{i}")
-            for i in range(5)
-        ],
-    )
+
+    def total(i: int):
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate("values", zero, lambda a, v: a + v[i].cast("bigint"))
+
+    return zipped.select("snapshot_id", *[total(i).alias(f"channel_{i}") for i in range(5)])
 
 
 @query("sequence_violations")
