@@ -24,10 +24,12 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> lis
         *keys
     ).agg(F.count("*").alias("_n"))
     heavy = counts.where(F.col("_n") > limit)
-    if hot_rows is not None:  # an explicit bound: used by tests and by callers that know better
-        return [tuple(r) for r in heavy.collect()]
-    total = df.select(*keys).count()
-    return [tuple(r) for r in heavy.where(F.col("_n") > total * HOT_SHARE).collect()]
+    size = counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("total")).first()
+    if size["most"] is None or size["most"] <= limit:
+        return []
+    if hot_rows is None:  # an explicit bound is taken as is
+        heavy = heavy.where(F.col("_n") > size["total"] * HOT_SHARE)
+    return [tuple(r) for r in heavy.collect()]
 
 
 def salted_join(

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,11 +102,33 @@ def hot_patients(tables: dict[str, DataFrame], hot_rows: int | None = None) -> l
     return hot_keys(ids, ["patient_id"], hot_rows)
 
 
-def _timeline(tables: dict[str, DataFrame], study: Study) -> DataFrame:
-    lag, rules = study.timeline.lag_days, study.cohort
+def _far(day: str) -> Column:
+    return F.lit(day).cast("date")
+
+
+# Bounds of empty and of unlimited ranges.
+_EARLY, _LATE = "0001-01-01", "9999-12-31"
+
+
+def _or_late(day: Column) -> Column:
+    return F.coalesce(day, _far(_LATE))
+
+
+def _timeline(tables: dict[str, DataFrame], study: Study, labelled: bool) -> DataFrame:
+    """Claims, enrolment runs and anchors with the index dates they matter to, as ranges.
+
+    ``near_from .. near_to`` (closed) covers coverage, reversed facts, enrolment and anchors;
+    ``event_from .. event_to`` covers outcomes; ``opens`` is the day a never-reversed fact
+    becomes known. They are computed once per row, so the join compares plain dates.
+    """
+    t, rules = study.timeline, study.cohort
+    lag, window = t.lag_days, rules.coverage_window_days
     rx, med = tables["pharmacy_claims"], tables["medical_claims"]
-    day = F.lit(None).cast("date")
-    no = F.lit(False)
+    empty_from, empty_to = _far(_LATE), _far(_EARLY)
+    no, gone = F.lit(False), F.col("gone")
+    ready = t.horizon_days + t.runout_days
+    conv, adv, d = F.col("conv"), F.col("adv"), F.col("d")
+    known = F.col("known")
     fills = (
         rx.where(is_valid())
         .withColumns({"conv": is_conventional(study.arms), "adv": is_advanced(study.arms)})
@@ -124,6 +147,38 @@ def _timeline(tables: dict[str, DataFrame], study: Study) -> DataFrame:
             no.alias("cf"),
         )
     )
+    known_adv = known if labelled else F.col("known_now")
+    first = F.when(conv & adv, F.least(known, known_adv)).when(conv, known).otherwise(known_adv)
+    covers_to = F.when(
+        conv & (F.col("d_end") > d), F.date_add("d_end", window - 2)
+    ).otherwise(empty_to)
+    near_to = F.when(gone.isNull(), covers_to).otherwise(F.date_sub(gone, 1))
+    event_from, event_to = empty_from, empty_to
+    if labelled:
+        event_from = F.when(
+            adv, F.greatest(F.date_sub(d, t.horizon_days), F.date_sub("known_now", ready))
+        ).otherwise(empty_from)
+        event_to = F.when(
+            adv, F.least(F.date_sub(d, 1), F.date_sub(_or_late(gone), ready + 1))
+        ).otherwise(empty_to)
+    opened = F.when(gone.isNull(), first).otherwise(empty_from)
+    ranges = {
+        "near_from": F.when(gone.isNull(), known).otherwise(first),
+        "near_to": near_to,
+        "event_from": event_from,
+        "event_to": event_to,
+        "opens": opened,
+    }
+    # A claim of both arms with two first-known days is open from the earlier one on; the
+    # facts themselves are decided per arm after the join.
+    if not labelled:
+        ranges["near_to"] = F.when(
+            gone.isNull() & conv & adv, F.greatest(near_to, known)
+        ).otherwise(near_to)
+        ranges["near_from"] = F.when(
+            conv & adv, first
+        ).otherwise(ranges["near_from"])
+    fills = fills.withColumns(ranges)
     diagnoses = (
         med.where(is_valid())
         .withColumns(
@@ -137,35 +192,56 @@ def _timeline(tables: dict[str, DataFrame], study: Study) -> DataFrame:
             "patient_id",
             F.lit(_DIAGNOSIS).alias("kind"),
             F.col("claim_date").alias("d"),
-            day.alias("d_end"),
+            F.lit(None).cast("date").alias("d_end"),
             known_from("claim_date", lag).alias("known"),
-            day.alias("known_now"),
+            F.lit(None).cast("date").alias("known_now"),
             reversal(med).alias("gone"),
             no.alias("conv"),
             no.alias("adv"),
             "dx",
             "cf",
         )
+        .withColumns(
+            {
+                "near_from": F.when(gone.isNull(), empty_from).otherwise(known),
+                "near_to": F.when(gone.isNull(), empty_to).otherwise(F.date_sub(gone, 1)),
+                "event_from": empty_from,
+                "event_to": empty_to,
+                "opens": F.when(gone.isNull(), known).otherwise(empty_from),
+            }
+        )
     )
 
-    def plain(df: DataFrame, kind: int, start: str, end: str) -> DataFrame:
+    def plain(df: DataFrame, kind: int, start: str, end: str, low: Column, high: Column):
         return df.select(
             "patient_id",
             F.lit(kind).alias("kind"),
             F.col(start).alias("d"),
             F.col(end).alias("d_end"),
-            *[day.alias(c) for c in ("known", "known_now", "gone")],
+            *[F.lit(None).cast("date").alias(c) for c in ("known", "known_now", "gone")],
             *[no.alias(c) for c in ("conv", "adv", "dx", "cf")],
+            low.alias("near_from"),
+            high.alias("near_to"),
+            empty_from.alias("event_from"),
+            empty_to.alias("event_to"),
+            empty_from.alias("opens"),
         )
 
+    history = max(t.observation_days, t.history_days, window)
+    follow = t.followup_days if labelled else 0
     runs = islands(tables["enrollment"], "patient_id", "coverage_start", "coverage_end")
-    return (
-        fills.unionByName(diagnoses)
-        .unionByName(plain(runs, _ENROLLED, "island_start", "island_end"))
-        .unionByName(
-            plain(tables["patients"], _ANCHOR, "observation_start", "observation_end")
-        )
+    enrolled = plain(
+        runs,
+        _ENROLLED,
+        "island_start",
+        "island_end",
+        F.date_add("island_start", history),
+        F.date_sub("island_end", follow),
     )
+    anchors = plain(
+        tables["patients"], _ANCHOR, "observation_start", "observation_end", empty_to, empty_from
+    )
+    return fills.unionByName(diagnoses).unionByName(enrolled).unionByName(anchors)
 
 
 def assess(
@@ -180,7 +256,7 @@ def assess(
     index, before = F.col("index_date"), F.col("previous_index")
     order = Window.partitionBy("patient_id").orderBy("index_date")
     candidates = snapshot_candidates(tables, t).withColumn(
-        "previous_index", F.lag("index_date").over(order)
+        "previous_index", F.coalesce(F.lag("index_date").over(order), _far(_EARLY))
     )
     if hot is None:
         hot = hot_patients(tables)
@@ -193,84 +269,67 @@ def assess(
     need_start = F.date_sub(index, history)
     need_end = F.date_add(index, t.followup_days) if labelled else index
 
+    wanted = (
+        ((F.col("near_from") <= index) & (index <= F.col("near_to")))
+        | ((F.col("opens") <= index) & (F.col("opens") > before))
+        | ((F.col("event_from") <= index) & (index <= F.col("event_to")))
+    )
+    if not labelled:  # a fill of both arms may open twice, once per arm's lag
+        wanted = wanted | (
+            F.col("conv") & F.col("adv") & (F.col("known") <= index) & (F.col("known") > before)
+        )
+    joined = salted_join(_timeline(tables, study, labelled), candidates, ["patient_id"], wanted, hot)
+
     kind, gone = F.col("kind"), F.col("gone")
 
-    def first_known(known: str) -> Column:
-        return (F.col(known) <= index) & (before.isNull() | (F.col(known) > before))
+    def opened(known: str) -> Column:
+        return gone.isNull() & (F.col(known) <= index) & (F.col(known) > before)
 
-    def known_closed(known: str) -> Column:
+    def passing(known: str) -> Column:
         return (F.col(known) <= index) & (index < gone)
 
-    def stab(known: str) -> Column:
-        return F.when(gone.isNull(), first_known(known)).otherwise(known_closed(known))
-
     advanced_known = "known" if labelled else "known_now"
-    alive = gone.isNull() | (gone > index)
+    is_fill, is_dx = kind == _FILL, kind == _DIAGNOSIS
     covers = (
-        F.col("conv")
+        is_fill
+        & F.col("conv")
         & (F.col("known") <= index)
-        & alive
+        & (gone.isNull() | (gone > index))
         & (F.col("d_end") > low)
         & (F.col("d_end") > F.col("d"))
     )
-    outcome = F.lit(False)
-    if labelled:
-        outcome = (
-            F.col("adv")
-            & (F.col("d") > index)
-            & (F.col("d") <= end)
-            & (F.col("known_now") <= mature)
-            & (gone.isNull() | (gone > mature))
-        )
-    wanted = (
-        (kind == _ANCHOR)
-        | ((kind == _ENROLLED) & (F.col("d") <= need_start) & (F.col("d_end") >= need_end))
-        | ((kind == _DIAGNOSIS) & stab("known"))
-        | (
-            (kind == _FILL)
-            & (
-                (F.col("conv") & stab("known"))
-                | (F.col("adv") & stab(advanced_known))
-                | covers
-                | outcome
-            )
-        )
-    )
-    joined = salted_join(_timeline(tables, study), candidates, ["patient_id"], wanted, hot)
+    outcome = is_fill & F.col("adv") & F.lit(labelled)
+    outcome = outcome & (F.col("event_from") <= index) & (index <= F.col("event_to"))
 
-    def dated(flag: Column, fact: Column) -> Column:
-        return F.when(fact & flag, F.col("d"))
+    def dated(*flags: Column) -> Column:
+        return F.when(reduce(Column.__and__, flags), F.col("d"))
 
-    is_fill, is_dx = kind == _FILL, kind == _DIAGNOSIS
-    opened, closed = gone.isNull() & first_known("known"), known_closed("known")
-    adv_opened = gone.isNull() & first_known(advanced_known)
-    facts = joined.withColumns(
-        {
-            "seg_start": F.when(is_fill & covers, F.greatest(F.col("d"), low)),
-            "seg_end": F.when(is_fill & covers, F.least(F.col("d_end"), high)),
-            "fill_open": dated(F.col("conv"), is_fill & opened),
-            "fill_closed": dated(F.col("conv"), is_fill & closed),
-            "adv_open": F.when(is_fill & F.col("adv") & adv_opened, 1),
-            "adv_closed": F.when(is_fill & F.col("adv") & known_closed(advanced_known), 1),
-            "dx_open": dated(F.col("dx"), is_dx & opened),
-            "dx_closed": dated(F.col("dx"), is_dx & closed),
-            "cf_open": dated(F.col("cf"), is_dx & opened),
-            "cf_closed": dated(F.col("cf"), is_dx & closed),
-            "outcome_date": F.when(is_fill & outcome, F.col("d")),
-            "enrolled": F.when(kind == _ENROLLED, 1),
-            "observed_from": F.when(kind == _ANCHOR, F.col("d")),
-            "observed_to": F.when(kind == _ANCHOR, F.col("d_end")),
-        }
+    facts = joined.select(
+        "patient_id",
+        "index_date",
+        F.when(covers, F.greatest(F.col("d"), low)).alias("seg_start"),
+        F.when(covers, F.least(F.col("d_end"), high)).alias("seg_end"),
+        dated(is_fill, F.col("conv"), opened("known")).alias("fill_open"),
+        dated(is_fill, F.col("conv"), passing("known")).alias("fill_closed"),
+        F.when(is_fill & F.col("adv") & opened(advanced_known), 1).alias("adv_open"),
+        F.when(is_fill & F.col("adv") & passing(advanced_known), 1).alias("adv_closed"),
+        dated(is_dx, F.col("dx"), opened("known")).alias("dx_open"),
+        dated(is_dx, F.col("dx"), passing("known")).alias("dx_closed"),
+        dated(is_dx, F.col("cf"), opened("known")).alias("cf_open"),
+        dated(is_dx, F.col("cf"), passing("known")).alias("cf_closed"),
+        F.when(outcome, F.col("d")).alias("outcome_date"),
+        F.when(kind == _ENROLLED, 1).alias("enrolled"),
+        dated(kind == _ANCHOR).alias("observed_from"),
+        F.when(kind == _ANCHOR, F.col("d_end")).alias("observed_to"),
     )
     least = ("fill_open", "fill_closed", "dx_open", "dx_closed", "outcome_date", "observed_from")
     most = ("adv_open", "adv_closed", "cf_open", "cf_closed", "enrolled", "observed_to")
     ends = [F.min(c).alias(c) for c in least] + [F.max(c).alias(c) for c in most]
-    by_start = facts.groupBy("patient_id", "index_date", "seg_start").agg(
-        F.max("seg_end").alias("seg_end"), *ends
-    )
-    reached = with_reach(
-        by_start, ["patient_id", "index_date"], "seg_start", "seg_end", "reach"
-    )
+    if hot:  # bounds what one (patient, index) group holds; needless for patients of known size
+        facts = facts.groupBy("patient_id", "index_date", "seg_start").agg(
+            F.max("seg_end").alias("seg_end"), *ends
+        )
+    reached = with_reach(facts, ["patient_id", "index_date"], "seg_start", "seg_end", "reach")
     per_index = reached.groupBy("patient_id", "index_date").agg(
         covered_days("seg_start", "seg_end", "reach", low, high).cast("int").alias("covered_days"),
         widest_gap("seg_start", "seg_end", "reach", low, high)

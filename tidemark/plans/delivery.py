@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_patients
+from ..operators.stage import freeze
 from ..params import Study
 from ..schema import ContractError
 from ..sources.directory import canonicalize
@@ -46,12 +47,12 @@ def prepare(
 ) -> Prepared:
     """Canonical tables to a validated training bundle."""
     hot = hot_patients(tables) if hot is None else hot
-    snapshots = build_cohort(tables, study, hot=hot).snapshots.persist()
+    snapshots = freeze(build_cohort(tables, study, hot=hot).snapshots)
     require_snapshots(snapshots)
     bundle = Prepared(
         snapshots,
-        build_features(tables, snapshots, study, hot=hot).persist(),
-        build_events(tables, snapshots, hot=hot),
+        freeze(build_features(tables, snapshots, study, hot=hot)),
+        freeze(build_events(tables, snapshots, hot=hot)),
         tuple(feature_names(study)),
     )
     return validate_prepared(bundle, study) if check else bundle
@@ -84,11 +85,11 @@ def scoring_batch(
 ) -> ScoringBatch:
     hot = hot_patients(tables) if hot is None else hot
     live = scoring_study(study, scoring_date)
-    snapshots = scoring_cohort(tables, study, scoring_date, hot=hot).snapshots.persist()
+    snapshots = freeze(scoring_cohort(tables, study, scoring_date, hot=hot).snapshots)
     batch = ScoringBatch(
         snapshots,
-        build_features(tables, snapshots, live, hot=hot).persist(),
-        build_events(tables, snapshots, hot=hot),
+        freeze(build_features(tables, snapshots, live, hot=hot)),
+        freeze(build_events(tables, snapshots, hot=hot)),
         tables["providers"],
         tuple(feature_names(live)),
     )
@@ -128,7 +129,7 @@ def train(
     latest = frame.agg(F.max("label_available_date")).first()[0]
     if latest is None or latest > scoring_date:
         raise ContractError("Training input is empty or contains immature outcomes")
-    split = temporal_split(frame, study.split).persist()
+    split = freeze(temporal_split(frame, study.split))
     check_split(split)
     parts = {s: split.where(F.col("split") == s).drop("split") for s in SPLITS}
     fraction = study.targets.patient_fraction
@@ -186,9 +187,9 @@ def deliver(
 ) -> Delivery:
     """Score the live batch and turn it into the provider table."""
     rules = study.targets
-    scored = model.predict(batch.modeling_frame(), study, scoring_date)
+    scored = freeze(model.predict(batch.modeling_frame(), study, scoring_date))
     if batch.snapshots.limit(1).count():
-        patients = rank_patients(scored, SCORE, fraction=rules.patient_fraction)
+        patients = freeze(rank_patients(scored, SCORE, fraction=rules.patient_fraction))
     else:
         patients = batch.snapshots.select(
             "patient_id",
@@ -198,7 +199,7 @@ def deliver(
             F.lit(0).alias("rank"),
             F.lit(False).alias("selected"),
         )
-    attributed = attributed_patients(patients, batch.events, rules).persist()
+    attributed = freeze(attributed_patients(patients, batch.events, rules))
     if unknown_providers(attributed, batch.providers).limit(1).count():
         raise ContractError("Attribution contains an HCP absent from the provider directory")
     targets = field_targets(attributed, batch.providers, rules, scoring_date).withColumns(
