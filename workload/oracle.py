@@ -42,7 +42,7 @@ rx AS (
               ELSE 'conventional' END AS therapy_class,
          l_quantity AS quantity, CAST(l_quantity AS INTEGER) AS days_supply,
          CAST(l_suppkey AS VARCHAR) AS prescriber_id, c_mktsegment AS plan_id,
-         round(l_extendedprice * l_discount, 2) AS patient_cost
+         floor(l_extendedprice * l_discount * 100) / CAST(100 AS DOUBLE) AS patient_cost
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
        JOIN customer ON o_custkey = c_custkey),
 providers AS (
@@ -639,9 +639,9 @@ opp AS (
          count(*) FILTER (top5) AS patients_top_5pct,
          count(*) FILTER (top10) AS patients_top_10pct,
          count(*) FILTER (top20) AS patients_top_20pct,
-         round(avg(score), 6) AS mean_patient_propensity,
-         round(max(score), 6) AS max_patient_propensity,
-         round(sum(score), 6) AS expected_switchers
+         round(avg(score), 10) AS mean_patient_propensity,
+         round(max(score), 10) AS max_patient_propensity,
+         round(sum(score), 10) AS expected_switchers
   FROM flagged JOIN chosen USING (patient_id) GROUP BY hcp_id)"""
 
 
@@ -665,10 +665,10 @@ def score_sql(how: str) -> str:
         names.append(f"CAST({w} AS DOUBLE) * ({value}) AS score_component__{metric}")
         total.append(f"score_component__{metric}")
     formula = " + ".join(f"{w:.6g}*{how}({m})" for m, w in weights.items())
-    rounds = ", ".join(f"round({c}, 6) AS {c}" for c in total)
+    rounds = ", ".join(f"round({c}, 10) AS {c}" for c in total)
     return on_cohort(
         f"""
-SELECT opp.* , {rounds.replace('round(', 'round(p.')}, round(p.total, 6) AS hcp_opportunity_score,
+SELECT opp.* , {rounds.replace('round(', 'round(p.')}, round(p.total, 10) AS hcp_opportunity_score,
   CAST(rank() OVER (ORDER BY p.total DESC) AS INTEGER) AS hcp_rank,
   '{formula}' AS opportunity_score_formula
 FROM opp JOIN (SELECT *, {' + '.join(total)} AS total FROM parts) p USING (hcp_id)""",
@@ -694,9 +694,9 @@ SELECT targeting_period, hcp_id, count(*) AS eligible_patient_count,
   count(*) FILTER (rank <= greatest(1, ceil(n * CAST(0.05 AS DOUBLE)))) AS patients_top_5pct,
   count(*) FILTER (rank <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE)))) AS patients_top_10pct,
   count(*) FILTER (rank <= greatest(1, ceil(n * CAST(0.2 AS DOUBLE)))) AS patients_top_20pct,
-  round(avg(score), 4) AS mean_patient_propensity,
-  round(max(score), 4) AS max_patient_propensity,
-  round(sum(score), 4) AS expected_switchers, round(sum(score), 4) AS hcp_opportunity_score
+  round(avg(score), 10) AS mean_patient_propensity,
+  round(max(score), 10) AS max_patient_propensity,
+  round(sum(score), 10) AS expected_switchers, round(sum(score), 10) AS hcp_opportunity_score
 FROM placed JOIN winner USING (snapshot_id) GROUP BY ALL""",
         f"""
 period AS (

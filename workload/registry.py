@@ -584,7 +584,7 @@ def _opportunity(spark, sf):
 
 @query("hcp_opportunity")
 def _(spark, sf):
-    return rounded(_opportunity(spark, sf))
+    return rounded(_opportunity(spark, sf), 10)
 
 
 WEIGHTS = {"expected_switchers": 2.0, "patients_top_10pct": 1.0, "eligible_patient_count": 1.0}
@@ -593,14 +593,14 @@ WEIGHTS = {"expected_switchers": 2.0, "patients_top_10pct": 1.0, "eligible_patie
 @query("hcp_score")
 def _(spark, sf):
     # Sums are rounded before ranking, so equal providers tie whatever the summation order.
-    rows = rounded(_opportunity(spark, sf))
-    return rounded(score_opportunities(rows, OpportunityScore(WEIGHTS, "minmax")))
+    rows = rounded(_opportunity(spark, sf), 10)
+    return rounded(score_opportunities(rows, OpportunityScore(WEIGHTS, "minmax")), 10)
 
 
 @query("hcp_score_percentile")
 def _(spark, sf):
-    rows = rounded(_opportunity(spark, sf))
-    return rounded(score_opportunities(rows, OpportunityScore(WEIGHTS, "percentile")))
+    rows = rounded(_opportunity(spark, sf), 10)
+    return rounded(score_opportunities(rows, OpportunityScore(WEIGHTS, "percentile")), 10)
 
 
 def _by_period(spark, sf, period: str) -> DataFrame:
@@ -613,7 +613,7 @@ def _by_period(spark, sf, period: str) -> DataFrame:
     events = freeze(raw_events(t, s))
     out, _ = targets.period_targeting(scored(s), events, rules, SCORE, check=False)
     return rounded(
-        out.drop("opportunity_score_formula", "score_component__expected_switchers", "hcp_rank"), 4
+        out.drop("opportunity_score_formula", "score_component__expected_switchers", "hcp_rank"), 10
     )
 
 

@@ -140,7 +140,10 @@ def canonical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.col("l_quantity").cast("int").alias("days_supply"),
             F.col("l_suppkey").cast("string").alias("prescriber_id"),
             F.col("c_mktsegment").alias("plan_id"),
-            F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("patient_cost"),
+            # Whole cents, cut rather than rounded: halves round differently across engines.
+            (F.floor(F.col("l_extendedprice") * F.col("l_discount") * 100) / F.lit(100.0)).alias(
+                "patient_cost"
+            ),
         )
     )
     providers = (
