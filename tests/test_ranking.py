@@ -146,7 +146,7 @@ def test_attribution_rules(spark, provider_events):
     existing = spark.createDataFrame(
         [("p1", "Z")], "patient_id string, attributed_provider_id string"
     )
-    mapped = attribute_patients(provider_events, rules("recent"+"_prescriber"), existing)
+    mapped = attribute_patients(provider_events, rules("recent_prescriber"), existing)
     assert winners(mapped) == {"p1": "Z", "p2": "D", "p3": "E"}
     own = attribute_patients(
         provider_events, rules("recent_prescriber", prefer_existing=False), existing
