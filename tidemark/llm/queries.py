@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, sharding, toxicity
+from . import decontaminate, langid, minhash, mixing, nbsvm, rules, sharding, toxicity
 
 # fixed values: column types of the tables that are read here
 SCHEMAS = {
@@ -45,6 +45,18 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op8_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rules_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -53,5 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_sharding,
         op6_poisson_mixing,
         op7_circulant_minhash,
+        op8_decision_lists,
+        op9_language_id,
+        op10_quality_nbsvm,
     )
 }
