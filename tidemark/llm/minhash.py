@@ -4,10 +4,9 @@ Two permutations give the whole signature. The first scatters shingle hashes ove
 2**32 places; the second orders the ring, and coordinate k reads it shifted by k places.
 
 Texts with equal shingle sets become one node. Members of a bucket are compared with its least
-node; after grouping by the confirmed links, a bucket that still holds several groups compares
-every member outside its largest group with all members of other groups. So each pair that
-shares a bucket is either compared or already connected, and no bucket is expanded into all
-its pairs unless its members really are unlike.
+node; where a bucket still holds several groups of confirmed links, its members outside the
+largest group are compared with all others, block against block. So each pair that shares a
+bucket is either compared or already connected, and only links become rows.
 """
 
 from __future__ import annotations
@@ -35,6 +34,7 @@ from .components import components
 
 FIVE_WORDS = 5
 HASHES, BANDS = 128, 32
+BLOCK_MEMBERS = 128
 
 
 def shingle_sets(
@@ -179,6 +179,99 @@ def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return joined.mapInArrow(compare, "a bigint, b bigint")
 
 
+def blockwise_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` across parts among the members ``(main, node, part)`` of each ``main``.
+
+    Members are dealt to blocks of about ``BLOCK_MEMBERS``; each pair of blocks, except two of
+    the main part, is one small group that compares its sets in matrices. So no pair of texts
+    becomes a row unless it is a link.
+    """
+    rest = F.col("part") != F.col("main")
+    sizes = members.groupBy("main").agg(
+        F.count_if(rest).alias("n_rest"), F.count_if(~rest).alias("n_main")
+    )
+    counts = freeze(
+        sizes.select(
+            "main",
+            F.ceil(F.col("n_rest") / BLOCK_MEMBERS).cast("int").alias("blocks"),
+            F.ceil(F.col("n_main") / BLOCK_MEMBERS).cast("int").alias("main_blocks"),
+        )
+    )
+    # Blocks of the rest are 0, 1, ...; those of the main part -1, -2, ...
+    own = F.expr(
+        "if(part <> main, pmod(xxhash64(node), blocks), -1 - pmod(xxhash64(node), main_blocks))"
+    )
+    others = F.expr(
+        "if(part <> main, sequence(-main_blocks, blocks - 1), sequence(0, blocks - 1))"
+    )
+    dealt = (
+        freeze(members)
+        .join(counts, "main")
+        .where("blocks > 0")
+        .withColumn("own", own.cast("int"))
+        .withColumn("other", F.explode(others))
+        .select(
+            "main",
+            "node",
+            "part",
+            F.least("own", "other").alias("low"),
+            F.greatest("own", "other").alias("high"),
+            (F.col("own") <= F.col("other")).alias("is_low"),
+        )
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, part = table["node"].to_numpy(), table["part"].to_numpy()
+        low = table["is_low"].to_numpy()
+        alike = table["low"][0].as_py() == table["high"][0].as_py()
+        left, right = np.flatnonzero(low), np.flatnonzero(low if alike else ~low)
+        found_a, found_b = [], []
+        if len(left) and len(right):
+            values = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"].combine_chunks()]
+            size = np.array([len(v) for v in values])
+            common = common_elements([values[i] for i in left], [values[i] for i in right])
+            union = size[left][:, None] + size[right][None, :] - common
+            linked = (100 * common >= percent * union) & (part[left][:, None] != part[right][None, :])
+            x, y = np.nonzero(linked)
+            found_a, found_b = node[left[x]], node[right[y]]
+        return pa.table(
+            {"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())}
+        )
+
+    return (
+        dealt.join(sets, "node")
+        .groupBy("main", "low", "high")
+        .applyInArrow(compare, "a bigint, b bigint")
+        .distinct()
+    )
+
+
+def common_elements(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of every left with every right set, over bounded slices of elements."""
+    sides = []
+    for values in (left, right):
+        row = np.repeat(np.arange(len(values)), [len(v) for v in values])
+        sides.append((row, np.concatenate(values)))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for row, value in sides:
+        at = np.searchsorted(both, value)
+        at[at == len(both)] = 0
+        held = (both[at] == value) if len(both) else np.zeros(len(value), bool)
+        order = np.argsort(at[held], kind="stable")
+        placed.append((row[held][order], at[held][order]))
+    for first in range(0, len(both), 2048):
+        matrices = []
+        for (row, at), n in zip(placed, (len(left), len(right)), strict=True):
+            i, j = np.searchsorted(at, (first, first + 2048))
+            m = np.zeros((n, min(2048, len(both) - first)), np.float32)
+            m[row[i:j], at[i:j] - first] = 1
+            matrices.append(m)
+        out += matrices[0] @ matrices[1].T
+    return out.astype(np.int64)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -261,17 +354,8 @@ def near_duplicates(
         .where("parts > 1")
         .select("bucket", "main")
     )
-    here = tagged.join(mixed, "bucket")
-    left = here.where("part <> main").select("bucket", F.col("node").alias("x"), F.col("part").alias("px"))
-    right = here.select("bucket", "main", F.col("node").alias("y"), F.col("part").alias("py"))
-    rest = (
-        left.join(freeze(right), "bucket")
-        .where("px <> py and (py = main or x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = confirmed_links(freeze(rest), sets, percent)
+    unlike = freeze(tagged.join(mixed, "bucket").select("main", "node", "part").distinct())
+    more = freeze(blockwise_links(unlike, sets, percent))
     joined = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     groups = freeze(components(joined.unionByName(more)))
 
