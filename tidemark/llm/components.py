@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.stage import freeze
 
 
+#: Edges in one partition of a frozen state. Star rounds are many and their tables often small.
+EDGES = 500_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -26,22 +30,28 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     seen = _state(current)
+    parts = 1 + int(seen[0] // EDGES)
+    current = freeze(current.coalesce(parts))
     while seen[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = freeze(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = freeze(
+            both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
+        )
         large = freeze(
             both.where("v > u")
             .join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
+            .coalesce(parts)
         )
-        least = freeze(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = freeze(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
         current = freeze(
             large.join(least, "u")
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
+            .coalesce(parts)
         )
         now = _state(current)
         if now == seen:
