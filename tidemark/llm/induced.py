@@ -49,7 +49,7 @@ class BucketQueue:
         if largest not in self.files:
             self.files[largest] = tempfile.TemporaryFile()
         for part in self.parts.pop(largest):
-            part.astype(np.int64).tofile(self.files[largest])
+            part.astype(np.int32).tofile(self.files[largest])
             self.held -= part.nbytes
 
     def pop(self, char: int) -> np.ndarray:
@@ -57,12 +57,12 @@ class BucketQueue:
         if char in self.files:
             file = self.files.pop(char)
             file.seek(0)
-            out.append(np.fromfile(file, np.int64))
+            out.append(np.fromfile(file, np.int32))
             file.close()
         rest = self.parts.pop(char, [])
         self.held -= sum(p.nbytes for p in rest)
         out += rest
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def _doubled(rank: np.ndarray, depth: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def _induce(text, s_type, chars, lms, limit) -> np.ndarray:
     for c in chars.tolist():
         out += larger[c]
         if c == chars[0]:
-            out += [np.array([len(text) - 1])]  # the end mark
+            out += [np.array([len(text) - 1], np.int32)]  # the end mark
         out += [part[::-1] for part in reversed(smaller[c])]
     return np.concatenate(out)
 
@@ -133,7 +133,7 @@ def _induce(text, s_type, chars, lms, limit) -> np.ndarray:
 def suffix_array(text: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> np.ndarray:
     """Suffix positions sorted by at least their first ``depth`` characters.
 
-    ``text`` holds integers and ends with its only zero.
+    ``text`` holds integers, ends with its only zero and is shorter than 2**31.
     """
     n = len(text)
     if n < 3:
@@ -145,7 +145,7 @@ def suffix_array(text: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> np.n
     s_type[:-1] = text[at] < text[at + 1]
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     chars = np.unique(text)
     order = _induce(text, s_type, chars, lms, limit)
     ranked = order[is_lms[order]]
@@ -191,9 +191,9 @@ def repeated_starts(strings: list[bytes], length: int, limit: int = QUEUE_BYTES)
     size = np.array([len(s) for s in strings])
     start = np.cumsum(size + 1) - (size + 1)
     data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    text = data.astype(np.int64) + 2
+    text = data.astype(np.int32) + 2
     text[start + size] = 1  # between strings
-    text = np.append(text, 0)
+    text = np.append(text, np.int32(0))
     order = suffix_array(text, length, limit)
     which = np.searchsorted(start, order, "right") - 1
     fits = (order - start[which] + length <= size[which]) & (order < len(data))

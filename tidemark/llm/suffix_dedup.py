@@ -23,7 +23,7 @@ from .induced import repeated_starts
 
 LENGTH = 400
 #: Bytes sorted at once, and distinct runs of an anchor from which its windows are counted singly.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 HOT_RUNS = 20_000
 
 
@@ -58,11 +58,12 @@ def _runs(length: int):
     return columns
 
 
+RANGES = "array<struct<low:int,high:int>>"
 RUNS = "anchor array<bigint>, content array<bigint>, at array<int>, size array<int>"
 
 
 def sorted_shards(slices: DataFrame, length: int, shard_bytes: int, queue_bytes: int) -> DataFrame:
-    """(anchor, content, low, high): ranges of window starts of a run that occur elsewhere.
+    """(anchor, content, ranges): the window starts of a run that occur elsewhere, as ranges.
 
     ``slices`` holds each distinct run of an anchor once, with its bytes. Runs of an anchor stay
     together; anchors are sorted together up to ``shard_bytes``.
@@ -73,18 +74,17 @@ def sorted_shards(slices: DataFrame, length: int, shard_bytes: int, queue_bytes:
         for (anchor, content, _), starts in zip(
             rows, repeated_starts([r[2] for r in rows], length, queue_bytes), strict=True
         ):
+            if not len(starts):
+                continue
             cuts = np.flatnonzero(np.diff(starts) > 1)
-            for low, high in zip(
-                starts[np.append(0, cuts + 1)].tolist() if len(starts) else [],
-                starts[np.append(cuts, len(starts) - 1)].tolist() if len(starts) else [],
-                strict=True,
-            ):
-                out.append((anchor, content, low, high))
-        names = ["anchor", "content", "low", "high"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        columns = zip(*out, strict=True) if out else [[]] * 4
+            low, high = starts[np.append(0, cuts + 1)], starts[np.append(cuts, len(starts) - 1)]
+            pairs = zip(low.tolist(), high.tolist(), strict=True)
+            out.append((anchor, content, [{"low": a, "high": b} for a, b in pairs]))
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        types = [pa.int64(), pa.int64(), pa.list_(pa.struct({"low": pa.int32(), "high": pa.int32()}))]
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names
+            [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+            names=["anchor", "content", "ranges"],
         )
 
     def run(batches):
@@ -103,7 +103,7 @@ def sorted_shards(slices: DataFrame, length: int, shard_bytes: int, queue_bytes:
         slices.select("anchor", "content", "piece")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(run, "anchor bigint, content bigint, low int, high int")
+        .mapInArrow(run, f"anchor bigint, content bigint, ranges {RANGES}")
     )
 
 
@@ -142,8 +142,11 @@ def counted_windows(slices: DataFrame, length: int) -> DataFrame:
         .select("anchor", "content", "low", "w.one", "w.two")
     )
     often = freeze(windows.groupBy("one", "two").count().where("count > 1").select("one", "two"))
-    return windows.join(often, ["one", "two"]).select(
-        "anchor", "content", F.col("low").cast("int"), F.col("low").cast("int").alias("high")
+    start = F.struct(F.col("low").cast("int").alias("low"), F.col("low").cast("int").alias("high"))
+    return (
+        windows.join(often, ["one", "two"])
+        .groupBy("anchor", "content")
+        .agg(F.collect_list(start).alias("ranges"))
     )
 
 
@@ -261,13 +264,19 @@ def repeated_strings(
     )
     single = decided.where("n = 1").select("anchor", "content", "row", "at")
     parts = single.join(freeze(ranges), ["anchor", "content"]).select(
-        "row", (F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.col("high") + length).alias("b")
+        "row",
+        F.transform(
+            "ranges",
+            lambda r: F.struct(
+                (F.col("at") + r["low"]).alias("a"), (F.col("at") + r["high"] + length).alias("b")
+            ),
+        ).alias("spans"),
     )
     spans = (
-        whole.select("row", F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b"))
+        whole.select("row", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b"))).alias("spans"))
         .unionByName(parts)
         .groupBy("row")
-        .agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
     cut = (
         texts.select("row", "body")
