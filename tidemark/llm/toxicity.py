@@ -118,7 +118,8 @@ def fit_toxicity(
 ) -> Weights:
     """Fit on at most ``limit`` labelled documents outside the held-out fold.
 
-    Texts are turned into bucket numbers on the executors; the driver gets those and fits.
+    Texts are turned into bucket numbers on the executors, and one task fits the bounded sample;
+    the driver gets the weights alone.
     The sample comes in digest order, so the model depends neither on row order nor on
     partitions. Without labelled documents every score is one half.
     """
@@ -134,10 +135,31 @@ def fit_toxicity(
         return columns
 
     chosen = sample_texts(docs, sample, doc_id, text)
-    rows = with_text_columns(chosen, start, "buckets binary", keep=["id", "y"]).orderBy(
-        F.md5(F.col("id").cast("string")), "id", "y", "buckets"
-    ).collect()
-    return fit_ftrl([(np.frombuffer(r["buckets"], np.int32), r["y"]) for r in rows], bits, rules)
+    rows = with_text_columns(chosen, start, "buckets binary", keep=["id", "y"]).withColumn(
+        "key", F.md5(F.col("id").cast("string"))
+    )
+
+    def fit(batches):
+        held = [r for b in batches for r in zip(*(b.column(c) for c in ("key", "id", "y", "buckets")), strict=True)]
+        held.sort(key=lambda r: (r[0].as_py() or "", r[2].as_py(), r[3].as_py()))
+        data = [(np.frombuffer(r[3].as_buffer(), np.int32), r[2].as_py()) for r in held]
+        fitted = fit_ftrl(data, bits, rules)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([fitted.bias]),
+                pa.array([fitted.index.tobytes()], pa.binary()),
+                pa.array([fitted.value.tobytes()], pa.binary()),
+            ],
+            names=["bias", "index", "value"],
+        )
+
+    fitted = rows.repartition(1).mapInArrow(fit, "bias double, index binary, value binary").first()
+    return Weights(
+        bits,
+        fitted["bias"],
+        np.frombuffer(fitted["index"], np.int32),
+        np.frombuffer(fitted["value"], np.float32),
+    )
 
 
 def toxicity_scores(
