@@ -8,16 +8,20 @@ from pyspark.sql import types as T
 
 
 
+# fixed value: blanks of any script, then one of the signs that begin a formula
+BLANK_SIGN = r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}]*[=+\-@]"
+
+
 def csv_safe(df: DataFrame) -> DataFrame:
     """Prefix text that a spreadsheet would run as a formula with an apostrophe.
 
-    The lstrip of the contract removes tabs and returns too, so only four signs remain.
+    Blanks before the sign do not hide it, whatever their kind in Unicode.
     """
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     return df.withColumns(
         {
             c: F.when(
-                F.col(c).rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), F.col(c))
+                F.col(c).rlike(BLANK_SIGN), F.concat(F.lit("'"), F.col(c))
             ).otherwise(F.col(c))
             for c in text
         }

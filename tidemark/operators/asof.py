@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.claims import known_from, reversal
 from ..schema import ContractError
-from .skew import salted_join
+from .skew import lookup, salted_join
 
 
 def known_claims(
@@ -55,46 +55,34 @@ def mapping_overlaps(mapping: DataFrame) -> DataFrame:
     )
 
 
-def mapping_matches(pharmacy: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Per claim the number of effective mapping rows and their smallest/largest class.
+def with_mapping(pharmacy: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Every claim with its mapping multiplicity and mapped class.
 
-    The mapping is aggregated onto the distinct (drug, fill date) pairs, so a drug that
-    owns a third of all fills costs one row per day instead of one per fill.
+    The mapping becomes one row per drug with its intervals, looked up by drug: broadcast after
+    its size is counted, so claims are not shuffled; beyond that a join with hot drugs apart.
     """
-    pairs = pharmacy.select("drug_id", "fill_date").distinct()
-    effective = mapping.select(
-        F.col("drug_id").alias("m_drug"),
-        F.col("therapy_class").alias("m_class"),
-        "effective_start",
-        "effective_end",
+    intervals = mapping.groupBy("drug_id").agg(
+        F.collect_list(
+            F.struct(F.col("therapy_class").alias("c"), "effective_start", "effective_end")
+        ).alias("_intervals")
     )
-    inside = (F.col("drug_id") == F.col("m_drug")) & F.col("fill_date").between(
-        F.col("effective_start"), F.col("effective_end")
+    day = F.col("fill_date")
+    inside = F.filter(
+        "_intervals", lambda i: (i["effective_start"] <= day) & (day <= i["effective_end"])
     )
     return (
-        pairs.join(effective, inside, "left")
-        .groupBy("drug_id", "fill_date")
-        .agg(
-            F.count("m_drug").alias("applicable_mappings"),
-            F.min("m_class").alias("mapped_class"),
+        lookup(pharmacy, intervals, "drug_id")
+        .select(*pharmacy.columns, F.coalesce(inside, F.array()).alias("_inside"))
+        .withColumns(
+            {
+                "applicable_mappings": F.size("_inside").cast("bigint"),
+                "mapped_class": F.array_min(F.transform("_inside", lambda i: i["c"])),
+            }
         )
+        .drop("_inside")
     )
 
 
-def with_mapping(pharmacy: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Every claim with its mapping multiplicity and mapped class.
-
-    The claim side is too large to broadcast and its drugs may be hot; the match table has
-    one row per (drug, day), so the join spreads over days.
-    """
-    matches = mapping_matches(pharmacy, mapping)
-    renamed = matches.withColumnsRenamed({"drug_id": "_drug", "fill_date": "_fill"})
-    on = F.col("drug_id").eqNullSafe(F.col("_drug")) & F.col("fill_date").eqNullSafe(
-        F.col("_fill")
-    )
-    return pharmacy.join(renamed, on, "left").drop("_drug", "_fill")
-
-
 def effective_mapping(
     pharmacy: DataFrame, mapping: DataFrame, *, check: bool = True
 ) -> DataFrame:

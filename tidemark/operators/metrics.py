@@ -40,13 +40,13 @@ def validate_predictions(
 ) -> None:
     found = prediction_problems(df, label, score, probabilities=probabilities).first()
     if not found["rows"]:
-        raise ValueError("Predictions must contain at least one patient")
+        raise ValueError("There are no predictions to judge")
     if found["bad_label"]:
-        raise ValueError("Labels must be binary values 0 and 1")
+        raise ValueError("A label is missing or neither 0 nor 1")
     if found["bad_score"]:
-        raise ValueError("Scores must contain only finite values")
+        raise ValueError("A score is missing or not finite")
     if found["outside_unit"]:
-        raise ValueError("Probability scores must be within [0, 1]")
+        raise ValueError("A probability lies outside [0, 1]")
 
 
 def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -97,9 +97,11 @@ def _confusion(tp: Column, k: Column, positives: Column, rows: Column) -> dict[s
 
 
 def classification_metrics(
-    df: DataFrame, label: str, score: str, *, threshold: float = 0.5
+    df: DataFrame, label: str, score: str, *, threshold: float = 0.5, check: bool = True
 ) -> DataFrame:
     """One row of probability and threshold metrics; undefined ones are null."""
+    if check:
+        validate_predictions(df, label, score)
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be within [0, 1]")
     table = score_table(df, label, score)
@@ -140,6 +142,7 @@ def ranking_metrics(
     *,
     tie: str = "patient_id",
     fractions: tuple[float, ...] = TOP_FRACTIONS,
+    check: bool = True,
 ) -> DataFrame:
     """One row per capacity share: recall, precision, lift and true positives in the top k.
 
@@ -147,6 +150,8 @@ def ranking_metrics(
     """
     from .ranking import capacity
 
+    if check:
+        validate_predictions(df, label, score, probabilities=False)
     rows = df.select(
         F.col(tie).alias("tie"),
         F.col(label).cast("bigint").alias("y"),
@@ -249,9 +254,16 @@ def class_imbalance(df: DataFrame, label: str) -> DataFrame:
 
 
 def threshold_curve(
-    df: DataFrame, label: str, score: str, *, thresholds: list[float] | None = None
+    df: DataFrame,
+    label: str,
+    score: str,
+    *,
+    thresholds: list[float] | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """Metrics at every candidate threshold: the given list, or each score plus 0 and 1."""
+    if check:
+        validate_predictions(df, label, score)
     table = score_table(df, label, score)
     sizes = df.agg(
         F.count("*").alias("rows"), F.sum(F.col(label).cast("bigint")).alias("positives")
@@ -318,6 +330,8 @@ def tune_threshold(
         raise ValueError("target_recall must be supplied in (0, 1]")
     curve = threshold_curve(df, label, score, thresholds=thresholds)
     if name == "target_recall":
+        if not df.where(F.col(label) == 1).limit(1).count():
+            raise ValueError("A target recall has no meaning without positive labels")
         value = F.when(F.col("recall") >= F.lit(float(target_recall)), F.col("precision"))
         shown = f"precision_at_recall_{target_recall:g}"
     else:

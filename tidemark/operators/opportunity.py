@@ -23,13 +23,16 @@ def _null_safe(keys: tuple[str, ...], suffix: str) -> Column:
     )
 
 
-def check_scores(scores: DataFrame, attribution: DataFrame, rules: OpportunityRules) -> None:
+def check_scores(
+    scores: DataFrame, attribution: DataFrame, rules: OpportunityRules, by: tuple[str, ...] = ()
+) -> None:
+    """Finite probabilities, and one row per patient (of a period) in both tables."""
     s = F.col(rules.score_col).cast("double")
     bad = scores.where(s.isNull() | F.isnan(s) | (s < 0) | (s > 1))
     if bad.limit(1).count():
         raise ValueError(f"{rules.score_col} must contain finite probabilities within [0, 1]")
     for df, name in ((scores, "patient_scores"), (attribution, "attribution")):
-        if df.groupBy("patient_id").count().where("count > 1").limit(1).count():
+        if df.groupBy(*by, "patient_id").count().where("count > 1").limit(1).count():
             raise ValueError(f"{name} must contain one row per patient")
 
 
@@ -98,8 +101,8 @@ def opportunity_metrics(
     check: bool = True,
 ) -> DataFrame:
     """Per provider: eligible and high-propensity patients, top-share counts, score sums."""
-    if check and not by:
-        check_scores(scores, attribution, rules)
+    if check:
+        check_scores(scores, attribution, rules, by)
     mapped = attribution.select(*by, "patient_id", "hcp_id").dropna()
     return (
         mapped.join(flagged_scores(scores, rules, by), [*by, "patient_id"])

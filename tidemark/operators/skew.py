@@ -9,26 +9,20 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds more rows than one task should sort.
 HOT_ROWS = 2_000_000
-# ... and never fewer than this share of the table, which bounds how many keys can be hot.
-HOT_SHARE = 1 / 2_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> list[tuple]:
     """Keys with more than ``hot_rows`` rows, each with its row count.
 
-    At most ``1 / HOT_SHARE`` keys can pass the bound, so the collected list is small
-    whatever the table size. The scan reads the key columns only and combines map-side.
+    Every key over the bound is hot, whatever its share of the table, so no task holds more.
+    A table of n rows has fewer than n / ``hot_rows`` of them; they are salted through a
+    table of keys. The scan reads the key columns only and combines map-side.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     counts = df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).groupBy(
         *keys
     ).agg(F.count("*").alias("_n"))
     heavy = counts.where(F.col("_n") > limit)
-    size = counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("total")).first()
-    if size["most"] is None or size["most"] <= limit:
-        return []
-    if hot_rows is None:  # an explicit bound is taken as is
-        heavy = heavy.where(F.col("_n") > size["total"] * HOT_SHARE)
     return [tuple(r) for r in heavy.collect()]
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a private one only where none is named."""
+    """The shared folder the session names.
+
+    Where none is named, a local session gets a private folder; on a cluster that is an error,
+    since executors could not share it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 

@@ -249,6 +249,12 @@ class TargetRules:
     def __post_init__(self):
         _require(self.period in {"M", "Q"}, "Targeting period must be M or Q")
         _require(0 < self.patient_fraction <= 1, "Patient fraction must be in (0, 1]")
+        _require(self.minimum_priority_patients >= 1, "A target needs a priority patient or more")
+        _require(
+            len(self.tier_fractions) == 2
+            and 0 < self.tier_fractions[0] < self.tier_fractions[1] <= 1,
+            "Two tier fractions must ascend within (0, 1]",
+        )
 
 
 @dataclass(frozen=True)

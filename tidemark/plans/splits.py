@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import scan_in_order
+from ..operators.stage import freeze
 from ..params import SplitRules
 
 SPLITS = ("train", "validation", "test")
@@ -25,7 +26,7 @@ def cut_date(first_dates: DataFrame, fraction: float) -> date:
     )
     total = first_dates.count()
     if not total:
-        raise ValueError("Cannot split empty or unkeyed data")
+        raise ValueError("No patient to split")
     position = int((total - 1) * fraction)
     return running.where(F.col("upto") > position).agg(F.min("first_index")).first()[0]
 
@@ -56,6 +57,10 @@ def temporal_split(
     mature at the training cut, validation rows start after it and are mature at the
     validation cut, test rows start after that.
     """
+    unkeyed = F.col("patient_id").isNull() | F.col("index_date").isNull()
+    found = data.agg(F.count("*").alias("rows"), F.count_if(unkeyed).alias("unkeyed")).first()
+    if not found["rows"] or found["unkeyed"]:
+        raise ValueError("A temporal split needs rows, each with a patient and an index date")
     train_end, validation_end = cuts or temporal_cuts(data, rules)
     first, index, ready = (
         F.col("first_index"), F.col("index_date"), F.col("label_available_date"),
@@ -76,6 +81,17 @@ def temporal_split(
     )
 
 
+def _require_parts(sizes: DataFrame, rules: SplitRules) -> None:
+    """Every partition gets a patient of some stratum (one row per stratum is read)."""
+    ends = [rules.train_fraction, rules.train_fraction + rules.validation_fraction]
+    shares = [0, 0, 0]
+    for row in sizes.collect():
+        a, b = (int(row["size"] * e) for e in ends)
+        shares = [x + y for x, y in zip(shares, (a, b - a, row["size"] - b), strict=True)]
+    if min(shares) <= 0:
+        raise ValueError("Too few patients: a partition of the stratified split is empty")
+
+
 def stratified_split(data: DataFrame, rules: SplitRules) -> DataFrame:
     """Patients shuffled by a seeded digest inside each outcome stratum, then cut by share.
 
@@ -90,7 +106,8 @@ def stratified_split(data: DataFrame, rules: SplitRules) -> DataFrame:
         keys=("stratum",),
         position="place",
     )
-    sizes = patients.groupBy("stratum").agg(F.count("*").alias("size"))
+    sizes = freeze(patients.groupBy("stratum").agg(F.count("*").alias("size")))
+    _require_parts(sizes, rules)
     a = F.floor(F.col("size") * F.lit(rules.train_fraction))
     b = F.floor(F.col("size") * F.lit(rules.train_fraction + rules.validation_fraction))
     split = (

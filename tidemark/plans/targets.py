@@ -102,9 +102,13 @@ def period_targeting(
             raise ValueError("HCP event is linked to a different patient")
         if found["late"]:
             raise LeakageError("HCP attribution includes unavailable or future events")
-    # Equal event ids inside a snapshot count once.
-    used = provider_events(linked, rules.relevant_specialties).dropDuplicates(
-        ["snapshot_id", "event_id"]
+    # Equal event ids inside a snapshot count once: the least row over all columns.
+    named = provider_events(linked, rules.relevant_specialties)
+    rest = [c for c in named.columns if c not in ("snapshot_id", "event_id")]
+    used = (
+        named.groupBy("snapshot_id", "event_id")
+        .agg(F.min(F.struct(*rest)).alias("row"))
+        .select("snapshot_id", "event_id", "row.*")
     )
     by = ("targeting_period",)
     attribution = rule_attribution(used, attribution_rules(rules), by)

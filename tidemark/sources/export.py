@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Mapping
 from datetime import date
 
@@ -31,12 +32,41 @@ def content_digest(df: DataFrame) -> DataFrame:
     return counted.select("rows", F.sha2(text, 256).alias("content_digest"))
 
 
+def select_only(query: str) -> str:
+    """The statement without comments, if it is one SELECT or WITH free of placeholders."""
+    text = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", _without_comment, query, flags=re.S)
+    text = text.strip().removesuffix(";").strip()
+    bare = re.sub(r"'(?:[^']|'')*'", "''", text)
+    if not re.match(r"(select|with)\b", bare, re.I):
+        raise ContractError("An export statement has to begin with SELECT or WITH")
+    if ";" in bare:
+        raise ContractError("An export takes a single statement")
+    if re.search(r"\b(insert|update|delete|merge|drop|alter|create|truncate|grant)\b", bare, re.I):
+        raise ContractError("An export statement may only read")
+    if re.search(r"<[A-Za-z_]+>|\{\{|\$\{", bare):
+        raise ContractError("An export statement still holds placeholders")
+    return text
+
+
+def _without_comment(match: re.Match) -> str:
+    return match[0] if match[0].startswith("'") else " "
+
+
 def read_query(
     spark: SparkSession, name: str, query: str, options: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """A canonical SELECT, in the session or (with options) through JDBC."""
+    """A canonical SELECT, in the session or (with options) through JDBC.
+
+    With ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` among the
+    options the table is read in parallel.
+    """
+    query = select_only(query)
     if options:
-        df = spark.read.format("jdbc").options(**options).option("query", query).load()
+        reader = spark.read.format("jdbc").options(**options)
+        if any(k.lower() == "partitioncolumn" for k in options):
+            df = reader.option("dbtable", f"({query}) canonical").load()
+        else:
+            df = reader.option("query", query).load()
     else:
         df = spark.sql(query)
     names = [c.lower() for c in df.columns]
@@ -91,9 +121,10 @@ def export_tables(
             done.append((name, found[0], found[1], _sha(queries[name]), "COMPLETED", *about, None))
         load_directory(spark, directory, file_format="csv")
     except Exception as error:
-        text = f"{type(error).__name__}: {error}"[:500]
-        failed = done or begun
-        _write_manifest(spark, [(*r[:4], "FAILED", *about, text) for r in failed], directory)
+        text = f"{type(error).__name__}: {error}"
+        whole = {r[0] for r in done}
+        states = [*done, *[(*r[:4], "FAILED", *about, text) for r in begun if r[0] not in whole]]
+        _write_manifest(spark, states, directory)
         raise
     _write_manifest(spark, done, directory)
     return f"{directory}/{MANIFEST}"
