@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import set_aside
 from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.minhash import near_duplicates
-from tidemark.llm.mixing import replicated
+from tidemark.llm.mixing import ADDED, replicated
 from tidemark.llm.queries import table
 from tidemark.llm.sharding import interleaved
 from tidemark.llm.toxicity import without_toxic
@@ -43,7 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Poisson copies at tempered source weights, in globally shuffled order."""
-    return replicated(docs).select(*docs.columns)
+    own, restore = set_aside(docs, ADDED)
+    return restore(replicated(own))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,17 @@ def with_text_columns(
     return source.mapInArrow(run, schema)
 
 
+def set_aside(docs: DataFrame, names: list[str]):
+    """``docs`` with its columns of these names renamed, and the function that restores
+    exactly the columns of ``docs``."""
+    own = [c for c in docs.columns if c in names]
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`_own_{c}`" if c in own else f"`{c}`").alias(c) for c in docs.columns])
+
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in own}), restore
+
+
 def id_text(doc_id: str = "doc_id"):
     """The id as text; a null id counts as empty."""
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

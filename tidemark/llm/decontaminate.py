@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.stage import freeze
 
-from .blocks import LOWER, NOT_ALNUM, with_text_columns
+from .blocks import LOWER, NOT_ALNUM, set_aside, with_text_columns
 
 WINDOW = 10
 #: Item words in one broadcast automaton; a word takes about 600 bytes in a worker.
@@ -190,6 +190,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+FOUND_NAMES = ["n_words", "hit_from", "hit_to", "items", "longest_match"]
 FOUND = "n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>, longest_match int"
 
 
@@ -213,7 +214,7 @@ def match_items(
     The pass for a block is narrow; beyond one block the passes are cut by checkpoints.
     """
     context = docs.sparkSession.sparkContext
-    names = ["n_words", "hit_from", "hit_to", "items", "longest_match"]
+    names = FOUND_NAMES
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     found: DataFrame | None = None
     source = docs
@@ -362,7 +363,8 @@ def decontaminated(
     cut out of the text (an ``n_chars`` column follows). The defaults reject every document
     with a passage. Clean documents, null and empty texts stay untouched.
     """
-    found = match_items(docs, items, window=window, text=text, **options)
+    own, restore = set_aside(docs, FOUND_NAMES)
+    found = match_items(own, items, window=window, text=text, **options)
     long = F.filter(
         F.arrays_zip(F.col("hit_from").alias("a"), F.col("hit_to").alias("b")),
         lambda s: s["b"] - s["a"] > longest_span,
@@ -371,7 +373,7 @@ def decontaminated(
     covered = F.aggregate("_long", F.lit(0), lambda s, x: s + x["b"] - x["a"])
     stay = marked.where(covered <= F.lit(max_coverage) * F.col("n_words"))
     if max_coverage <= 0:
-        return stay.select(*docs.columns)
+        return restore(stay)
 
     def cut(batches):
         for batch in batches:
@@ -384,7 +386,7 @@ def decontaminated(
             columns = [pa.array(out, pa.binary()).cast(pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1])
 
-    out = stay.select(*docs.columns, "_long").mapInArrow(cut, docs.schema)
+    out = restore(stay.select(*own.columns, "_long").mapInArrow(cut, own.schema))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out

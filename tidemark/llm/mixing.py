@@ -14,6 +14,9 @@ from .sharding import stratum
 TEMPERATURE = 0.7
 
 
+ADDED = ["rate", "n_copies", "copy", "shuffle_key"]
+
+
 def poisson_steps(rate: Column) -> Column:
     """Cumulative probabilities of a Poisson count, up to where doubles end (rate + 12 sigma).
 
@@ -78,7 +81,7 @@ def replicated(
     replaced. Only the table of sources is joined; adaptive execution broadcasts it or splits
     the hot source, as its measured size allows.
     """
-    added = ["rate", "n_copies", "copy", "shuffle_key"]
+    added = ADDED
     kept = [c for c in docs.columns if c not in added]
     steps = freeze(
         source_rates(docs, source, weights, rows, temperature).withColumn("steps", poisson_steps(F.col("rate")))

@@ -154,6 +154,8 @@ def fit_toxicity(
         )
 
     fitted = rows.repartition(1).mapInArrow(fit, "bias double, index binary, value binary").first()
+    if fitted is None:  # no labelled document
+        return fit_ftrl([], bits, rules)
     return Weights(
         bits,
         fitted["bias"],
