@@ -21,12 +21,18 @@ MANIFEST_SCHEMA = (
 
 
 def content_digest(df: DataFrame) -> DataFrame:
-    """One row: row count and a digest that does not depend on row order or partitioning."""
+    """One row: row count and a digest that does not depend on row order or partitioning.
+
+    A row counts as the first 60 bits of the md5 of its values as text, columns by name; each
+    value follows its length, and a null is a minus sign. The digest covers the sum of the rows.
+    """
     columns = sorted(df.columns)
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    values = [F.col(f"`{c}`").cast("string") for c in columns]
+    marked = [F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values]
+    row = F.conv(F.substring(F.md5(F.concat(*marked)), 1, 15), 16, 10)
     counted = df.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("sum"),
+        F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("sum"),
     )
     text = F.concat_ws("|", F.lit(",".join(columns)), F.col("rows"), F.col("sum"))
     return counted.select("rows", F.sha2(text, 256).alias("content_digest"))

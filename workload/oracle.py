@@ -886,6 +886,39 @@ def profile_sql() -> str:
     return with_tables(" UNION ALL ".join(parts))
 
 
+DIGESTED = {
+    "patients": "patients", "medical_claims": "med", "pharmacy_claims": "rx",
+    "providers": "providers", "plans": "plans", "enrollment": "enrollment",
+    "therapy_mapping": "mapping",
+}
+COLUMNS = {
+    "patients": "birth_year gender geography observation_end observation_start patient_id",
+    "medical_claims": "available_date claim_date claim_id diagnosis_code patient_id "
+    "place_of_service procedure_code provider_id status",
+    "pharmacy_claims": "available_date claim_id days_supply drug_id fill_date patient_cost "
+    "patient_id plan_id prescriber_id quantity reversal_date status therapy_class",
+    "providers": "geography organization provider_id specialty",
+    "plans": "payer_type plan_id",
+    "enrollment": "coverage_end coverage_start patient_id plan_id",
+    "therapy_mapping": "drug_id effective_end effective_start therapy_class",
+}
+
+
+def digest_sql() -> str:
+    parts = []
+    for name, cte in DIGESTED.items():
+        columns = COLUMNS[name].split()
+        row = " || ".join(
+            f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+            for c in columns
+        )
+        parts.append(f"""
+SELECT count(*) AS rows, sha256('{','.join(columns)}|' || count(*) || '|' || coalesce(sum(CAST(
+    '0x' || substr(md5({row}), 1, 15) AS BIGINT)), 0)) AS content_digest, '{name}' AS "table"
+FROM {cte}""")
+    return with_tables("\nUNION ALL".join(parts))
+
+
 ORACLE: dict[str, str] = {
     "profile_tables": profile_sql(),
     "medical_grain": with_tables("""
@@ -1169,3 +1202,9 @@ SELECT 'covered_days' AS name, CAST(quantile_cont(covered_days, 0.5) AS DOUBLE)
 UNION ALL
 SELECT 'maximum_gap_days', CAST(quantile_cont(maximum_gap_days, 0.5) AS DOUBLE) FROM snap"""),
 }
+ORACLE |= {
+    "content_digest": digest_sql(),
+    "cohort_hot": ORACLE["cohort_labels"],
+    "features_counts_hot": ORACLE["features_counts"],
+    "features_peers_hot": ORACLE["features_peers"],
+}

@@ -14,6 +14,7 @@ from tidemark.operators import asof, intervals, metrics, quality, ranking
 from tidemark.operators.attribution import attribute_patients, rule_attribution
 from tidemark.operators.opportunity import opportunity_metrics, score_opportunities
 from tidemark.operators.ordered import exact_quantiles
+from tidemark.operators.skew import hot_keys
 from tidemark.operators.stage import freeze
 from tidemark.params import AttributionRules, OpportunityRules, OpportunityScore, TargetRules
 from tidemark.plans import cohort as cohorts
@@ -38,6 +39,8 @@ QUERIES: dict[str, Query] = {}
 
 PROBE = date(1999, 7, 1)
 SCORE = "score"
+#: Rows of a key from which the queries named ``..._hot`` take the salted path.
+SMALL_HOT = 50
 
 
 def query(name: str):
@@ -248,6 +251,13 @@ def _(spark, sf):
     return cohorts.build_cohort(canonical(spark, sf), STUDY).exclusions
 
 
+@query("cohort_hot")
+def _(spark, sf):
+    """The snapshots with every patient over a small bound on the salted path."""
+    t = canonical(spark, sf)
+    return cohorts.build_cohort(t, STUDY, hot=cohorts.hot_patients(t, SMALL_HOT)).snapshots
+
+
 @query("exclusion_counts")
 def _(spark, sf):
     return cohorts.build_cohort(canonical(spark, sf), STUDY).exclusion_counts()
@@ -281,6 +291,14 @@ def _(spark, sf):
     return rounded(features.count_features(t, s, STUDY), 2)
 
 
+@query("features_counts_hot")
+def _(spark, sf):
+    """Claim counts with every patient over a small bound on the salted path."""
+    t, s = eligible(spark, sf)
+    hot = cohorts.hot_patients(t, SMALL_HOT)
+    return rounded(features.count_features(t, s, STUDY, hot=hot), 2)
+
+
 @query("features_coverage")
 def _(spark, sf):
     t, s = eligible(spark, sf)
@@ -299,6 +317,16 @@ def _(spark, sf):
     return features.peer_features(t, s, STUDY)
 
 
+@query("features_peers_hot")
+def _(spark, sf):
+    """Peer counts with patients and prescribers over a small bound on the salted path."""
+    t, s = eligible(spark, sf)
+    busy = hot_keys(t["pharmacy_claims"], ["prescriber_id"], SMALL_HOT)
+    return features.peer_features(
+        t, s, STUDY, hot=cohorts.hot_patients(t, SMALL_HOT), hot_prescribers=busy
+    )
+
+
 @query("features_payer")
 def _(spark, sf):
     t, s = eligible(spark, sf)
