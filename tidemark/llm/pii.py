@@ -310,14 +310,17 @@ def all_spans(text: str, tagger: Tagger | None) -> tuple[list[Span], list[Span]]
 def fit_pii(docs: DataFrame, *, limit: int = SAMPLE) -> Tagger | None:
     """Train on windows of at most ``limit`` documents that hold a digit or an ``@``.
 
-    The first by digest of id; the base spans are their labels. Windows of at most 200 per
-    document come back to the driver as small arrays.
+    The first by digest of id; the base spans are their labels. Ids are chosen before texts are
+    read, so no task gathers texts from every partition; rows that share an id count once, with
+    their least text. Windows of at most 200 per document come back to the driver as small arrays.
     """
+    holding = docs.where(F.col("text").rlike("[0-9@]")).withColumn("key", F.md5(id_text()))
+    chosen = holding.select("key").orderBy("key").limit(limit).distinct()
     sample = (
-        docs.where(F.col("text").rlike("[0-9@]"))
-        .select("text", F.md5(id_text()).alias("key"))
-        .orderBy("key", F.md5("text"))
-        .limit(limit)
+        holding.select("key", "text")
+        .join(F.broadcast(chosen), "key", "left_semi")
+        .groupBy("key")
+        .agg(F.min("text").alias("text"))
     )
 
     def start():
