@@ -18,7 +18,7 @@ def queries(tables, prefix):
 
 
 def test_export_is_verified_until_a_file_changes(spark, tables, tmp_path):
-    as_of = day("2024-08-31")
+    as_of = day("2022-12-31")
     export.export_tables(
         spark, queries(tables, "ok"), str(tmp_path), as_of=as_of, kind="real", version="v1",
         max_rows=10,
@@ -27,7 +27,7 @@ def test_export_is_verified_until_a_file_changes(spark, tables, tmp_path):
     assert export.file_digests(spark, str(tmp_path / "plans.csv")).count() >= 1
     with pytest.raises(ContractError, match="version"):
         export.verify_manifest(spark, str(tmp_path), as_of=as_of, version="v2")
-    other = spark.createDataFrame([("a", "medicare")], TABLES["plans"].fields)
+    other = spark.createDataFrame([("basic", "medicare")], TABLES["plans"].fields)
     other.write.mode("overwrite").option("header", True).csv(f"{tmp_path}/plans.csv")
     with pytest.raises(ContractError, match="plans"):
         export.verify_manifest(spark, str(tmp_path), as_of=as_of, version="v1")
@@ -36,12 +36,12 @@ def test_export_is_verified_until_a_file_changes(spark, tables, tmp_path):
 def test_oversize_export_fails_and_says_so(spark, tables, tmp_path):
     with pytest.raises(ContractError, match="exceeds"):
         export.export_tables(
-            spark, queries(tables, "big"), str(tmp_path), as_of=day("2024-08-31"), max_rows=1
+            spark, queries(tables, "big"), str(tmp_path), as_of=day("2022-12-31"), max_rows=1
         )
     states = {r["status"] for r in export.read_manifest(spark, str(tmp_path)).collect()}
     assert states == {"FAILED"}
     with pytest.raises(ContractError, match="incomplete"):
-        export.verify_manifest(spark, str(tmp_path), as_of=day("2024-08-31"))
+        export.verify_manifest(spark, str(tmp_path), as_of=day("2022-12-31"))
 
 
 def test_query_columns_are_checked(spark, tables):

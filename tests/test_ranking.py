@@ -21,51 +21,52 @@ def d(text):
 
 @pytest.fixture
 def assessments(spark):
-    rows = [("a", "a1", d("2024-01-01"), 0, 0.9), ("a", "a2", d("2024-02-01"), 1, 0.2)]
-    rows += [
-        (p, f"{p}1", d("2024-02-01"), int(p == "b"), 0.95 if p == "b" else 0.1) for p in "bcdefghij"
-    ]
+    """Twenty patients in May; m07 also in March, then with the highest score of all."""
+    score = {"m02": 0.8, "m13": 0.7, "m07": 0.3}
+    rows = [("m07", "march", d("2023-03-05"), 1, 0.99)]
+    for i in range(1, 21):
+        p = f"m{i:02d}"
+        rows.append((p, f"may-{p}", d("2023-05-05"), int(p in ("m02", "m19")), score.get(p, 0.1)))
     return spark.createDataFrame(
         rows, "patient_id string, snapshot_id string, index_date date, label int, s double"
     )
 
 
 def test_latest_before_rank(assessments):
-    ranked = ranking.rank_patients(assessments, "s", fraction=0.1).orderBy("rank").collect()
-    assert len(ranked) == 10 and ranked[0]["patient_id"] == "b"
-    assert [r["selected"] for r in ranked].count(True) == 1
-    capture = ranking.capture_metrics(assessments, "s", fraction=0.1).first()
+    ranked = ranking.rank_patients(assessments, "s", fraction=0.15).orderBy("rank").collect()
+    assert len(ranked) == 20
+    assert [r["patient_id"] for r in ranked if r["selected"]] == ["m02", "m13", "m07"]
+    capture = ranking.capture_metrics(assessments, "s", fraction=0.15).first()
     assert (capture["positives"], capture["captured"]) == (2, 1)
-    assert (capture["recall"], capture["precision"]) == (0.5, 1.0)
-    assert capture["lift"] == pytest.approx(5.0)
+    assert capture["recall"] == 0.5 and capture["precision"] == pytest.approx(1 / 3)
+    assert capture["lift"] == pytest.approx(10 / 3)
 
 
 def test_ties_as_of_and_ambiguity(assessments):
-    flat = assessments.withColumn("s", F.lit(0.5))
-    assert ranking.rank_patients(flat, "s").orderBy("rank").first()["patient_id"] == "a"
-    early = ranking.latest_assessments(assessments, as_of=d("2024-01-15")).collect()
-    assert [r["snapshot_id"] for r in early] == ["a1"]
-    twice = assessments.union(
-        assessments.where("snapshot_id = 'b1'").withColumn("snapshot_id", F.lit("b2"))
-    )
+    flat = assessments.withColumn("s", F.lit(0.25))
+    assert ranking.rank_patients(flat, "s").orderBy("rank").first()["patient_id"] == "m01"
+    early = ranking.latest_assessments(assessments, as_of=d("2023-04-01")).collect()
+    assert [r["snapshot_id"] for r in early] == ["march"]
+    again = assessments.where("patient_id = 'm04'").withColumn("snapshot_id", F.lit("second"))
     with pytest.raises(ValueError, match="repeated_patient_index"):
-        ranking.latest_assessments(twice)
+        ranking.latest_assessments(assessments.union(again))
     with pytest.raises(ValueError, match="cutoff"):
-        ranking.latest_assessments(assessments, as_of=d("2020-01-01"))
+        ranking.latest_assessments(assessments, as_of=d("2022-01-01"))
 
 
 @pytest.fixture
-def perfect(spark):
-    rows = [(f"p{i:03d}", int(i < 10), 1 - i / 99) for i in range(100)]
+def separated(spark):
+    """Fifty distinct scores; the four highest are the positives."""
+    rows = [(f"n{i:02d}", int(i < 4), (50 - i) / 50) for i in range(50)]
     return spark.createDataFrame(rows, "patient_id string, y int, s double")
 
 
-def test_perfect_ranking(perfect):
-    row = metrics.evaluate_predictions(perfect, "y", "s").first()
+def test_separated_classes(separated):
+    row = metrics.evaluate_predictions(separated, "y", "s").first()
     assert row["roc_auc"] == 1 and row["pr_auc"] == pytest.approx(1)
-    assert row["Recall@10%"] == 1 and row["Precision@10%"] == 1
-    assert row["Lift@10%"] == pytest.approx(10) and row["Recall@5%"] == 0.5
-    assert ranking.top_k_count(11, 0.10) == 2
+    assert row["Recall@10%"] == 1 and row["Precision@10%"] == pytest.approx(0.8)
+    assert row["Lift@10%"] == pytest.approx(10) and row["Recall@5%"] == 0.75
+    assert ranking.top_k_count(41, 0.05) == 3
 
 
 def frame(spark, y, s):
@@ -74,16 +75,15 @@ def frame(spark, y, s):
 
 
 def test_thresholds(spark):
-    df = frame(spark, [0, 0, 1, 1], [0.10, 0.40, 0.35, 0.80])
+    df = frame(spark, [1, 0, 1, 0, 1, 0], [0.9, 0.6, 0.55, 0.3, 0.2, 0.05])
     best = metrics.tune_threshold(df, "y", "s").first()
-    assert (best["threshold"], best["objective_value"]) == (0.35, pytest.approx(0.8))
-    assert best["candidate_count"] == 6
-    assert metrics.select_threshold(df, "y", "s") == 0.35
-    df = frame(spark, [0, 0, 0, 1, 1], [0.05, 0.25, 0.45, 0.40, 0.80])
+    assert (best["threshold"], best["objective_value"]) == (0.2, pytest.approx(0.75))
+    assert best["candidate_count"] == 8
+    assert metrics.select_threshold(df, "y", "s") == 0.2
     best = metrics.tune_threshold(
-        df, "y", "s", objective="target_recall", target_recall=0.5
+        df, "y", "s", objective="target_recall", target_recall=0.6
     ).first()
-    assert (best["threshold"], best["objective_value"]) == (0.80, 1.0)
+    assert (best["threshold"], best["objective_value"]) == (0.55, pytest.approx(2 / 3))
 
 
 def test_single_class_and_bad_predictions(spark):
@@ -117,12 +117,15 @@ def test_random_metrics_against_plain_python(spark):
 @pytest.fixture
 def provider_events(spark):
     rows = [
-        ("p1", "A", d("2024-01-01"), "Rheumatology", True),
-        ("p1", "A", d("2024-01-15"), "Rheumatology", True),
-        ("p1", "B", d("2024-02-01"), "Primary Care", True),
-        ("p2", "C", d("2024-01-05"), "Rheumatology", True),
-        ("p2", "D", d("2024-01-06"), "Rheumatology", True),
-        ("p3", "E", d("2024-03-01"), "Rheumatology", True),
+        ("q1", "X", d("2023-04-01"), "Cardiology", True),
+        ("q1", "X", d("2023-04-20"), "Cardiology", True),
+        ("q1", "Y", d("2023-05-02"), "General Practice", True),
+        ("q2", "V", d("2023-06-01"), "Cardiology", True),
+        ("q2", "V", d("2023-06-02"), "Cardiology", True),
+        ("q2", "W", d("2023-06-03"), "Cardiology", True),
+        ("q2", "R", d("2023-06-30"), "Cardiology", False),
+        ("q3", "U", d("2023-06-01"), "Cardiology", True),
+        ("q3", "T", d("2023-06-09"), "Cardiology", True),
     ]
     return spark.createDataFrame(
         rows,
@@ -138,53 +141,50 @@ def winners(df):
 def test_attribution_rules(spark, provider_events):
     rules = lambda m, **k: AttributionRules(method=m, relevant_col="is_relevant", **k)
     recent = winners(rule_attribution(provider_events, rules("recent_prescriber")))
-    assert recent == {"p1": "B", "p2": "D", "p3": "E"}
-    plural = winners(rule_attribution(provider_events, rules("plurality")))
-    assert plural["p1"] == "A" and plural["p2"] == "D"
-    special = rules("frequent_specialist", specialists=("rheumatology",))
-    assert winners(rule_attribution(provider_events, special))["p1"] == "A"
+    assert recent == {"q1": "Y", "q2": "W", "q3": "T"}
+    assert winners(rule_attribution(provider_events, rules("plurality"))) == {
+        "q1": "X", "q2": "V", "q3": "T",
+    }
+    special = rules("frequent_specialist", specialists=("cardiology",))
+    assert winners(rule_attribution(provider_events, special))["q1"] == "X"
     existing = spark.createDataFrame(
-        [("p1", "Z")], "patient_id string, attributed_provider_id string"
+        [("q2", "K")], "patient_id string, attributed_provider_id string"
     )
     mapped = attribute_patients(provider_events, rules("recent_prescriber"), existing)
-    assert winners(mapped) == {"p1": "Z", "p2": "D", "p3": "E"}
+    assert winners(mapped) == {"q1": "Y", "q2": "K", "q3": "T"}
     own = attribute_patients(
         provider_events, rules("recent_prescriber", prefer_existing=False), existing
     )
-    assert winners(own)["p1"] == "B"
+    assert winners(own)["q2"] == "W"
     with pytest.raises(ValueError, match="multiple"):
-        twice = existing.union(existing.withColumn("attributed_provider_id", F.lit("Y")))
+        twice = existing.union(existing.withColumn("attributed_provider_id", F.lit("L")))
         attribute_patients(provider_events, rules("existing"), twice)
     with pytest.raises(ValueError):
         AttributionRules(method="guess")
 
 
 def test_opportunity_and_scores(spark):
-    scores = spark.createDataFrame(
-        [("p1", 0.9), ("p2", 0.8), ("p3", 0.2), ("p4", 0.1)],
-        "patient_id string, advanced_therapy_propensity_score double",
-    )
-    mapping = spark.createDataFrame(
-        [("p1", "h1"), ("p2", "h1"), ("p3", "h2"), ("p4", "h2")],
-        "patient_id string, hcp_id string",
+    people = [("u1", "g1", 0.95), ("u2", "g1", 0.6), ("u3", "g2", 0.7), ("u4", "g2", 0.4),
+              ("u5", "g2", 0.05)]
+    both = spark.createDataFrame(
+        people, "patient_id string, hcp_id string, advanced_therapy_propensity_score double"
     )
-    out = {
-        r["hcp_id"]: r
-        for r in score_opportunities(
-            opportunity_metrics(scores, mapping, OpportunityRules(threshold=0.75)),
-            OpportunityScore(),
-        ).collect()
-    }
-    h1, h2 = out["h1"], out["h2"]
-    assert (h1["eligible_patient_count"], h1["high_propensity_patient_count"]) == (2, 2)
-    assert (h1["patients_top_5pct"], h1["patients_top_10pct"]) == (1, 1)
-    assert h1["expected_switchers"] == pytest.approx(1.7)
-    assert h2["expected_switchers"] == pytest.approx(0.3)
-    assert (h1["hcp_rank"], h2["hcp_rank"]) == (1, 2)
-    assert h1["opportunity_score_formula"] == "1*none(expected_switchers)"
-    share = opportunity_metrics(scores, mapping, OpportunityRules(threshold=None, threshold_percentile=75))
+    scores, mapping = both.drop("hcp_id"), both.select("patient_id", "hcp_id")
+    rows = score_opportunities(
+        opportunity_metrics(scores, mapping, OpportunityRules(threshold=0.65)), OpportunityScore()
+    ).collect()
+    g1, g2 = sorted(rows, key=lambda r: r["hcp_id"])
+    assert [g["eligible_patient_count"] for g in (g1, g2)] == [2, 3]
+    assert [g["high_propensity_patient_count"] for g in (g1, g2)] == [1, 1]
+    assert [g["patients_top_5pct"] for g in (g1, g2)] == [1, 0]
+    assert [g["patients_top_10pct"] for g in (g1, g2)] == [1, 0]
+    assert [g["expected_switchers"] for g in (g1, g2)] == pytest.approx([1.55, 1.15])
+    assert [g["hcp_rank"] for g in (g1, g2)] == [1, 2]
+    assert g1["opportunity_score_formula"] == "1*none(expected_switchers)"
+    # The 60th percentile is 0.64: u1 and u3 are above it.
+    share = opportunity_metrics(scores, mapping, OpportunityRules(threshold=None, threshold_percentile=60))
     high = {r["hcp_id"]: r["high_propensity_patient_count"] for r in share.collect()}
-    assert high == {"h1": 1, "h2": 0}
+    assert high == {"g1": 1, "g2": 1}
     with pytest.raises(ValueError):
         opportunity_metrics(scores.union(scores), mapping, OpportunityRules())
     flat = spark.createDataFrame([("a", 1.0, 3), ("b", 1.0, 1)], "hcp_id string, x double, k int")
@@ -241,18 +241,12 @@ def test_stratified_split(spark):
 
 
 def test_model_fit_imputes_from_train_and_rejects_overlap(spark):
-    rows = [(f"t{i}", f"t{i}", d("2024-01-01"), float(i % 2), i % 2) for i in range(40)]
-    train = spark.createDataFrame(
-        rows, "patient_id string, snapshot_id string, index_date date, x double, label int"
-    )
-    validation = train.limit(10).withColumns(
-        {
-            "patient_id": F.concat(F.lit("v"), "patient_id"),
-            "snapshot_id": F.concat(F.lit("v"), "snapshot_id"),
-            "x": F.col("x") + 100,
-        }
-    )
-    assert models.Imputation.fit(train, ["x"]).medians == {"x": 0.5}
+    rows = [(f"t{i}", f"t{i}", d("2023-02-01"), float(i % 3), int(i % 3 == 2)) for i in range(30)]
+    shape = "patient_id string, snapshot_id string, index_date date, x double, label int"
+    train = spark.createDataFrame(rows, shape)
+    others = [(f"w{i}", f"w{i}", t, 50 + x, y) for i, (_, _, t, x, y) in enumerate(rows[:9])]
+    validation = spark.createDataFrame(others, shape)
+    assert models.Imputation.fit(train, ["x"]).medians == {"x": 1.0}
     fitted = models.fit_baselines(
         train, validation, ["x"], parameters={"boosted_trees": {"maxIter": 2}}
     )

@@ -1,7 +1,7 @@
 """The seven-table contract case and the end-to-end case."""
 
 from dataclasses import replace
-from datetime import timedelta
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from tidemark.plans.events import build_events
 from tidemark.plans.features import build_features, feature_names
 from tidemark.plans.models import DeliveryModel
 from tidemark.plans.prepared import Prepared, load_prepared, validate_prepared
-from tidemark.schema import ContractError, LeakageError
+from tidemark.schema import TABLES, ContractError, LeakageError
 from tidemark.sources.directory import (
     canonicalize,
     load_directory,
@@ -27,6 +27,9 @@ from tidemark.sources.directory import (
 )
 
 
+LABELS = {"ines": 1, "otto": 0, "ruth": 0}
+
+
 def labels(cohort):
     return {r["patient_id"]: r["label"] for r in cohort.snapshots.collect()}
 
@@ -34,42 +37,45 @@ def labels(cohort):
 def test_parquet_round_trip(spark, tables, study, tmp_path):
     save_directory(tables, str(tmp_path), "parquet")
     loaded = load_directory(spark, str(tmp_path), file_format="parquet", check=False)
-    assert labels(build_cohort(loaded, study)) == {"p1": 1, "p2": 0}
+    assert labels(build_cohort(loaded, study)) == LABELS
 
 
 def test_csv_round_trip_gives_labels_and_features(spark, tables, study, tmp_path):
     save_directory(tables, str(tmp_path), "csv")
     loaded = load_directory(spark, str(tmp_path), file_format="csv")
     drugs = {r[0] for r in loaded["therapy_mapping"].select("drug_id").collect()}
-    assert "00000000001" in drugs
+    assert drugs == {"00417", "90088"}
     cohort = build_cohort(loaded, study)
     cohort.snapshots = freeze(cohort.snapshots)
-    assert labels(cohort) == {"p1": 1, "p2": 0}
+    assert labels(cohort) == LABELS
     assert not timeline_differences(cohort.snapshots, loaded, study).collect()
     wide = freeze(build_features(loaded, cohort.snapshots, study))
     assert len(wide.columns) - 2 == len(feature_names(study)) == 70
-    assert {r["pharmacy_count_30d"] for r in wide.collect()} == {1}
+    fills = wide.join(cohort.snapshots.select("snapshot_id", "patient_id"), "snapshot_id")
+    assert {r["patient_id"]: r["pharmacy_count_30d"] for r in fills.collect()} == {
+        "ines": 0, "otto": 1, "ruth": 1,
+    }
     events = freeze(build_events(loaded, cohort.snapshots))
     assert len(events.columns) == 19
     bundle = Prepared(cohort.snapshots, wide, events, tuple(feature_names(study)))
     validate_prepared(bundle, study)
     profile = quality.table_profile(loaded)
     found = profile.where("table = 'patients' and measure = 'distinct'").first()
-    assert found["value"] == "2"
+    assert found["value"] == "3"
 
 
 def test_late_availability_drops_the_confirmation(tables, study):
-    late = F.when(F.col("claim_id") == "m2", F.lit(day("2024-07-02")))
+    late = F.when(F.col("claim_id") == "v4", F.lit(day("2022-03-05")))
     med = tables["medical_claims"].withColumn(
         "available_date", F.coalesce(late, "available_date")
     )
     cohort = build_cohort({**tables, "medical_claims": med}, study)
-    assert labels(cohort) == {"p2": 0}
+    assert labels(cohort) == {"ines": 1, "ruth": 0}
     assert [r["reason"] for r in cohort.exclusions.collect()] == ["diagnosis_not_confirmed"]
 
 
 def test_empty_training_cohort_is_an_error(tables, study):
-    early = replace(study, timeline=replace(study.timeline, as_of=day("2024-06-01")))
+    early = replace(study, timeline=replace(study.timeline, as_of=day("2022-02-20")))
     cohort = build_cohort(tables, early)
     assert {r["reason"] for r in cohort.exclusions.collect()} == {"future_index"}
     with pytest.raises(ValueError):
@@ -78,11 +84,11 @@ def test_empty_training_cohort_is_an_error(tables, study):
 
 def test_contract_violations_are_counted_and_raised(tables):
     planted = [
-        ("medical_claims", "status", "denied", "status_unsupported", 4),
-        ("pharmacy_claims", "quantity", -1.0, "quantity_negative_or_missing", 3),
+        ("medical_claims", "status", "denied", "status_unsupported", 6),
+        ("pharmacy_claims", "quantity", -1.0, "quantity_negative_or_missing", 5),
         ("pharmacy_claims", "prescriber_id", "zz", "prescriber_id_unknown", 1),
-        ("patients", "patient_id", "p1", "patient_id_repeated", 1),
-        ("enrollment", "coverage_end", day("2001-01-01"), "coverage_start_after_coverage_end", 2),
+        ("patients", "patient_id", "otto", "patient_id_repeated", 1),
+        ("enrollment", "coverage_end", day("2001-01-01"), "coverage_start_after_coverage_end", 4),
     ]
     bad = dict(tables)
     for table, column, value, _, _ in planted:
@@ -101,14 +107,14 @@ def test_mapping_must_match_once_and_agree(tables):
     rx, mapping = tables["pharmacy_claims"], tables["therapy_mapping"]
     with pytest.raises(ContractError, match="conflicts"):
         effective_mapping(rx.withColumn("therapy_class", F.lit("advanced")), mapping)
-    short = mapping.withColumn("effective_end", F.lit(day("2021-01-01")))
+    short = mapping.withColumn("effective_end", F.lit(day("2022-01-24")))
     with pytest.raises(ContractError, match="exactly one"):
         effective_mapping(rx, short)
 
 
 def test_overlapping_mapping_is_inclusive(tables):
-    extra = tables["therapy_mapping"].withColumn("effective_start", F.lit(day("2030-01-01")))
-    extra = extra.withColumn("effective_end", F.lit(day("2031-01-01")))
+    extra = tables["therapy_mapping"].withColumn("effective_start", F.lit(day("2024-12-31")))
+    extra = extra.withColumn("effective_end", F.lit(day("2026-12-31")))
     with pytest.raises(ContractError, match="Overlapping"):
         effective_mapping(tables["pharmacy_claims"], tables["therapy_mapping"].union(extra))
 
@@ -138,7 +144,7 @@ def test_prepared_loader_normalises_and_validates(tables, study):
     )
     assert {r["label"] for r in bundle.snapshots.collect()} == {0, 1}
     assert bundle.wide.schema["x"].dataType.simpleString() == "double"
-    assert bundle.modeling_frame().count() == 2
+    assert bundle.modeling_frame().count() == 3
     with pytest.raises(ContractError, match="lineage"):
         validate_prepared(bundle, study, {})
     late = bundle.events.withColumn("event_date", F.col("index_date"))
@@ -148,55 +154,42 @@ def test_prepared_loader_normalises_and_validates(tables, study):
         validate_prepared(replace(bundle, features=("y",)), study)
 
 
-def cloned(spark):
-    """Fixture one four times per month shift, 24 patients in three calendar groups."""
-    base, out = contract_rows(), {}
-    ids = {"claim_id", "patient_id"}
-    for name, rows in base.items():
-        from tidemark.schema import TABLES
-
-        names = TABLES[name].required.names
-        moved = []
-        if name in ("providers", "plans", "therapy_mapping"):
-            moved = rows
-        else:
-            for g, months in enumerate((-18, -12, -6)):
-                for j in range(4):
-                    for row in rows:
-                        values = []
-                        for c, v in zip(names, row):
-                            if c in ids:
-                                v = f"g{g}_{j}_{v}"
-                            elif hasattr(v, "isoformat") and name != "enrollment":
-                                v = shift(v, months) if not c.startswith("observation") else v
-                            values.append(v)
-                        if name == "patients":
-                            values.append(shift(day("2024-07-01"), months))
-                            values[4] = day("2020-01-01")
-                        if name == "enrollment":
-                            values[1] = day("2020-01-01")
-                        moved.append(tuple(values))
-        extra = ", index_date date" if name == "patients" else ""
-        out[name] = literal(spark, name, moved, extra)
-    mapping = [(d, c, day("2015-01-01"), e) for d, c, _, e in base["therapy_mapping"]]
-    out["therapy_mapping"] = literal(spark, "therapy_mapping", mapping)
-    return out
-
-
-def shift(value, months):
-    total = value.year * 12 + value.month - 1 + months
-    year, month = divmod(total, 12)
-    last = (value.replace(year=year, month=month + 1, day=1) - timedelta(days=1)).day if (
-        month < 11
-    ) else 31
-    return value.replace(year=year, month=month + 1, day=1) + timedelta(
-        days=min(value.day, 28 if month == 1 else last or 28) - 1
-    )
+WAVES = (0, 200, 400)
+COPIES = 6
+
+
+def waves(spark):
+    """The contract case in three waves, days apart, each with copies of its patients."""
+    rows = contract_rows()
+    out = {name: list(rows[name]) for name in ("providers", "plans")}
+    out["therapy_mapping"] = [(d, c, day("2015-01-01"), day("2030-12-31")) for d, c, _, _ in
+                              rows["therapy_mapping"]]
+    for name in ("patients", "medical_claims", "pharmacy_claims", "enrollment"):
+        id_columns = {
+            i for i, c in enumerate(TABLES[name].required.names) if c in ("claim_id", "patient_id")
+        }
+        out[name] = []
+        for days in WAVES:
+            later = timedelta(days=days)
+            for copy in range(COPIES):
+                for row in rows[name]:
+                    new = [
+                        f"{v}-{days}-{copy}" if i in id_columns
+                        else v + later if isinstance(v, date) else v
+                        for i, v in enumerate(row)
+                    ]
+                    if name == "patients":
+                        new.append(day("2022-03-01") + later)
+                    out[name].append(tuple(new))
+    extra = {"patients": ", index_date date"}
+    return {name: literal(spark, name, new, extra.get(name, "")) for name, new in out.items()}
 
 
 def test_end_to_end(spark, study, tmp_path):
-    tables = cloned(spark)
-    scoring = day("2024-02-15")
+    """On the scoring day only the last wave has supply left; its Ines has switched already,
+    its Ruth switches nine days later. So Otto and Ruth are scored, six copies each."""
+    tables = waves(spark)
+    scoring = day("2023-06-10")
     full = replace(
         study,
         timeline=replace(
@@ -204,10 +197,10 @@ def test_end_to_end(spark, study, tmp_path):
             as_of=scoring,
             strategy="provided",
             snapshots_per_patient=1,
-            index_start=day("2023-01-01"),
-            index_end=day("2024-01-01"),
+            index_start=day("2022-01-01"),
+            index_end=day("2023-04-05"),
         ),
-        split=SplitRules(train_end=day("2023-05-01"), validation_end=day("2023-11-01")),
+        split=SplitRules(train_end=day("2022-06-30"), validation_end=day("2023-01-31")),
     )
     result, training = delivery.run(
         tables,
@@ -217,21 +210,21 @@ def test_end_to_end(spark, study, tmp_path):
         restricted=f"{tmp_path}/restricted",
         parameters={"boosted_trees": {"maxIter": 3}, "logistic_regression": {"maxIter": 20}},
     )
-    assert result.patients.count() == 4
-    assert result.patients.where("selected").count() == 1
+    assert result.patients.count() == 12
+    assert result.patients.where("selected").count() == 2
     field = spark.read.option("header", True).csv(f"{tmp_path}/out/hcp_targets")
     assert field.count() == 1
     assert not any("patient_id" in c for c in field.columns)
     assert training.comparison.count() == 4
     counts = {r["split"]: r["patients"] for r in training.counts.collect()}
-    assert counts["train"] == 8
+    assert counts == {"train": 18, "validation": 18, "test": 18}
     cover = result.coverage.first()
-    assert cover["eligible_patients"] == 4 and cover["exported_priority_patients"] == 1
+    assert cover["eligible_patients"] == 12
     loaded = DeliveryModel.load(spark, f"{tmp_path}/restricted/model")
     again = delivery.deliver(result.batch, loaded, full, scoring)
     assert again.targets.collect() == result.targets.collect()
-    changed = replace(full, timeline=replace(full.timeline, lag_days=1))
+    changed = replace(full, timeline=replace(full.timeline, lag_days=5))
     with pytest.raises(ContractError, match="refit"):
         training.model.predict(result.batch.modeling_frame(), changed, scoring)
     with pytest.raises(ContractError, match="mature"):
-        delivery.check_maturity(full, day("2024-01-10"))
+        delivery.check_maturity(full, day("2023-06-05"))
