@@ -288,7 +288,7 @@ def threshold_curve(
     else:
         values = sorted({float(v) for v in thresholds})
         if not values or any(not 0.0 <= v <= 1.0 for v in values):
-            raise ValueError("All candidate thresholds must be finite and in [0, 1]")
+            raise ValueError("A given threshold is not a number from 0 to 1")
         curve = table.select(
             "rows",
             "positives",
@@ -327,7 +327,7 @@ def tune_threshold(
     if name not in OBJECTIVES:
         raise ValueError(f"objective must be one of {OBJECTIVES}")
     if name == "target_recall" and not (target_recall and 0.0 < target_recall <= 1.0):
-        raise ValueError("target_recall must be supplied in (0, 1]")
+        raise ValueError("This objective needs a target_recall above 0, at most 1")
     curve = threshold_curve(df, label, score, thresholds=thresholds)
     if name == "target_recall":
         if not df.where(F.col(label) == 1).limit(1).count():
@@ -357,7 +357,7 @@ def select_threshold(
     """The F1-optimal threshold, or a fixed one."""
     if strategy == "fixed":
         if not 0.0 <= fixed <= 1.0:
-            raise ValueError("fixed threshold must be between zero and one")
+            raise ValueError("The fixed threshold is not a number from 0 to 1")
         return float(fixed)
     if strategy != "f1":
         raise ValueError("strategy must be f1 or fixed")

@@ -32,7 +32,7 @@ class Timeline:
     def __post_init__(self):
         _require(
             self.observation_days > 0 and self.horizon_days > 0,
-            "Observation and prediction windows must be positive",
+            "observation_days and horizon_days must be at least one day",
         )
         for value in (self.lag_days, self.runout_days, self.history_days, self.followup_days):
             _require(value >= 0, "Timeline lengths cannot be negative")
@@ -66,7 +66,7 @@ class TherapyArms:
             ("class", self.conventional_classes, self.advanced_classes),
         ):
             both = sorted(set(left) & set(right))
-            _require(not both, f"Therapy {kind} mappings overlap: {both}")
+            _require(not both, f"A {kind} belongs to one arm only, found in both: {both}")
         _require(
             bool(self.conventional_drugs or self.conventional_classes)
             and bool(self.advanced_drugs or self.advanced_classes),
@@ -139,7 +139,7 @@ class SplitRules:
         _require(
             min(self.validation_fraction, self.test_fraction) > 0
             and self.validation_fraction + self.test_fraction < 1,
-            "Invalid split fractions",
+            "Validation and test fractions must be above 0 and leave a share for training",
         )
         _require(self.gap_days >= 0, "Temporal gap cannot be negative")
 

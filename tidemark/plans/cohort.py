@@ -42,6 +42,7 @@ REASONS = (
     "conventional_gap",
     "known_prior_advanced",
 )
+# fixed values: columns of a snapshot
 SNAPSHOT_COLUMNS = (
     "snapshot_id", "patient_id", "cohort_id", "start_dt", "index_date", "feature_cutoff",
     "lookback_start", "prediction_end", "label_available_date", "resp", "label",
@@ -69,12 +70,12 @@ def snapshot_candidates(tables: dict[str, DataFrame], timeline: Timeline) -> Dat
             F.col("patient_id").isNull() | F.col("index_date").isNull() | (F.col("n") > 1)
         )
         if bad.limit(1).count():
-            raise ValueError("Candidate patient/index pairs must be non-null and unique")
+            raise ValueError("Every candidate needs a patient and an index date, and no pair may repeat")
         if pairs.join(patients, "patient_id", "left_anti").limit(1).count():
-            raise ValueError("Candidate contains unknown patient")
+            raise ValueError("A candidate's patient is not in the patients table")
     elif "index_date" in patients.columns:
         if patients.where(F.col("index_date").isNull()).limit(1).count():
-            raise ValueError("Candidate patient/index pairs must be non-null and unique")
+            raise ValueError("Every candidate needs a patient and an index date, and no pair may repeat")
         steps = F.sequence(F.lit(0), F.lit(t.snapshots_per_patient - 1))
         pairs = patients.select("patient_id", "index_date", F.explode(steps).alias("i")).select(
             "patient_id", F.add_months("index_date", F.col("i")).alias("index_date")
@@ -86,7 +87,7 @@ def snapshot_candidates(tables: dict[str, DataFrame], timeline: Timeline) -> Dat
         months = F.sequence(F.lit(first), F.lit(t.index_end), F.expr("interval 1 month"))
         pairs = patients.select("patient_id", F.explode(months).alias("index_date"))
     else:
-        raise ValueError("Provide snapshot_candidates, patient index_date, or a monthly calendar")
+        raise ValueError("No source of index dates: neither candidates nor patient dates nor a month range")
     if t.index_start:
         pairs = pairs.where(F.col("index_date") >= F.lit(t.index_start))
     if t.index_end:
@@ -428,7 +429,7 @@ def build_cohort(
 
 def require_snapshots(snapshots: DataFrame) -> DataFrame:
     if not snapshots.limit(1).count():
-        raise ValueError("No eligible mature snapshots; inspect dates and cohort rules")
+        raise ValueError("The cohort is empty: no snapshot passed every rule")
     return snapshots
 
 

@@ -26,6 +26,7 @@ from ..sources.directory import rename_columns
 from .cohort import SNAPSHOT_COLUMNS
 from .events import normalize_events
 
+# fixed values: columns of the prepared events
 EVENT_FIELDS = (
     "snapshot_id", "patient_id", "event_id", "event_date", "available_date", "event_type",
     "code_system", "code", "hcp_id", "product_id", "therapy_class", "provider_specialty",
@@ -58,11 +59,11 @@ def _schema_check(
 ) -> None:
     validate_predictor_names(features)
     if set(wide.columns) != {"snapshot_id", "feature_as_of", *features}:
-        raise error("Wide table differs from the explicit feature allowlist")
+        raise error("Columns of the wide table and the feature allowlist are not the same")
     dated = (T.DateType, T.TimestampType, T.TimestampNTZType)
     raw = [f.name for f in wide.schema if f.name in features and isinstance(f.dataType, dated)]
     if raw:
-        raise error(f"Unreviewed raw date predictors: {raw}")
+        raise error(f"Dates cannot be predictors as they are: {raw}")
 
 
 def _infinite_rules(wide: DataFrame, features: tuple[str, ...]):
@@ -176,7 +177,7 @@ def validate_prepared(
         for feature in bundle.features:
             entry = lineage.get(feature, {})
             if entry.get("available_at_index") is not True or not entry.get("definition"):
-                raise ContractError(f"Reviewed lineage required for feature: {feature}")
+                raise ContractError(f"No reviewed lineage for {feature}")
     return bundle
 
 
@@ -191,7 +192,7 @@ def load_prepared(
 ) -> Prepared:
     """Prepared tables by name: renamed, lower-cased, typed, validated, ordered."""
     if not features:
-        raise ContractError("Prepared input requires an explicit feature allowlist")
+        raise ContractError("Name the features: the allowlist is empty")
     frames = {
         n: rename_columns(tables[n], (columns or {}).get(n, {}), n)
         for n in ("snapshots", "wide", "events")
@@ -219,7 +220,7 @@ def load_prepared(
     for f in features:
         kinds[f] = (lineage or {}).get(f, {}).get("dtype", "numeric")
         if kinds[f] not in {"numeric", "categorical"}:
-            raise ContractError(f"Unknown feature dtype for {f}")
+            raise ContractError(f"Feature {f} is declared neither numeric nor categorical")
     wide = wide.withColumns(
         {f: F.col(f).cast("double") for f in features if kinds[f] == "numeric"}
     )
@@ -250,13 +251,13 @@ def scoring_violations(batch: ScoringBatch, study: Study, scoring_date: date) ->
     s, t = batch.snapshots, study.timeline
     outcomes = {"label", "resp", "outcome_date", "label_available_date"}
     if outcomes & (set(s.columns) | set(batch.events.columns)):
-        raise LeakageError("Live scoring snapshots must not contain outcome fields")
+        raise LeakageError("Outcome columns were found among snapshots to be scored")
     if not batch.features or len(set(batch.features)) != len(batch.features):
-        raise ContractError("Scoring feature allowlist must be nonempty and unique")
+        raise ContractError("The allowlist for scoring is empty or repeats a name")
     if not {"provider_id", "specialty", "geography", "organization"} <= set(
         batch.providers.columns
     ):
-        raise ContractError("Provider directory is missing canonical fields")
+        raise ContractError("The provider table lacks required columns")
     _schema_check(batch.wide, batch.features, ContractError)
     day, index = F.lit(scoring_date), F.col("index_date")
     rules = {

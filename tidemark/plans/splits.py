@@ -44,7 +44,7 @@ def temporal_cuts(data: DataFrame, rules: SplitRules) -> tuple[date, date]:
             firsts, rules.train_fraction + rules.validation_fraction
         )
     if validation_end <= train_end:
-        raise ValueError("Invalid temporal boundaries or gap")
+        raise ValueError("The training period must end before the validation period does")
     return train_end, validation_end
 
 
@@ -162,7 +162,7 @@ def shared_patients(split: DataFrame) -> DataFrame:
 def check_split(split: DataFrame, *, temporal: bool = True) -> None:
     """Disjoint patients, no empty partition, labels mature before the next partition starts."""
     if shared_patients(split).limit(1).count():
-        raise AssertionError("Patient overlap between partitions")
+        raise AssertionError("A patient is in more than one part")
     found = {
         r["split"]: r
         for r in split.where(F.col("split").isNotNull())
@@ -174,8 +174,8 @@ def check_split(split: DataFrame, *, temporal: bool = True) -> None:
         .collect()
     }
     if set(found) != set(SPLITS):
-        raise ValueError("Maturity purging left an empty split; widen temporal periods")
+        raise ValueError("A part is empty once immature snapshots are left out")
     if temporal:
         for earlier, later in (("train", "validation"), ("validation", "test")):
             if found[earlier]["ready"] >= found[later]["start"]:
-                raise AssertionError(f"{earlier} labels unavailable at {later} scoring start")
+                raise AssertionError(f"Labels of {earlier} come after the first index date of {later}")
