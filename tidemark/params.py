@@ -66,7 +66,7 @@ class TherapyArms:
             ("class", self.conventional_classes, self.advanced_classes),
         ):
             both = sorted(set(left) & set(right))
-            _require(not both, f"A {kind} belongs to one arm only, found in both: {both}")
+            _require(not both, f"The two arms overlap in {kind} values {both}")
         _require(
             bool(self.conventional_drugs or self.conventional_classes)
             and bool(self.advanced_drugs or self.advanced_classes),
