@@ -375,6 +375,17 @@ def test_copies_follow_given_weights(spark, odd, none):
     assert stage.columns == odd.columns and {r["rate"] for r in stage.collect()} <= {"x"}
 
 
+def test_the_mixture_query_copies_whole_documents(spark):
+    plan = queries.QUERIES["op6_poisson_mixing"](spark, SF)
+    folders = {f.rsplit("/", 1)[0] for f in plan.inputFiles()}
+    assert len(folders) == 1
+    rows = spark.read.parquet(*folders).collect()
+    docs = {r["doc_id"]: r for r in queries.table(spark, SF, "documents").collect()}
+    assert len(rows) == plan.count() > 0
+    for r in rows:
+        assert all(r[c] == docs[r["doc_id"]][c] for c in ("text", "lang", "source", "n_chars"))
+
+
 def test_large_rates_do_not_underflow(spark):
     steps = spark.range(1).select(mixing.poisson_steps(F.lit(2000.0)).alias("s")).first()["s"]
     assert steps[1500] < 1e-6 and abs(steps[2000] - 0.506) < 0.002 and abs(steps[-1] - 1) < 1e-9

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import lookup
 from tidemark.operators.stage import freeze
 
 from .blocks import id_text
@@ -78,18 +79,19 @@ def replicated(
     Each copy is a row; rows are range-partitioned and sorted by a digest of id and copy, which
     is the global shuffle (column ``shuffle_key``). Null sources are one source, null ids read
     as empty, an empty table gives an empty result; columns that bear one of the four names are
-    replaced. Only the table of sources is joined; adaptive execution broadcasts it or splits
-    the hot source, as its measured size allows.
+    replaced. Only the table of sources is joined: broadcast where its count allows, so the
+    texts are shuffled once, for the order.
     """
     added = ADDED
     kept = [c for c in docs.columns if c not in added]
     steps = freeze(
-        source_rates(docs, source, weights, rows, temperature).withColumn("steps", poisson_steps(F.col("rate")))
+        source_rates(docs, source, weights, rows, temperature)
+        .withColumn("steps", poisson_steps(F.col("rate")))
+        .withColumnRenamed("stratum", "_stratum")
     )
+    known = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_stratum", stratum(source))
     counted = (
-        docs.select(*[F.col(f"`{c}`") for c in kept])
-        .withColumn("_stratum", stratum(source))
-        .join(steps, F.col("_stratum") == F.col("stratum"))
+        lookup(known, steps, "_stratum")
         .withColumn("_u", uniform(seed, doc_id))
         .withColumn("n_copies", F.size(F.filter("steps", lambda p: p <= F.col("_u"))))
         .where("n_copies > 0 and rate > 0")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.stage import checkpoint_dir
+
 from . import decontaminate, langid, minhash, mixing, nbsvm, pii, rules, sharding, suffix_dedup, toxicity
 
 # fixed values: column types of the tables that are read here
@@ -42,10 +45,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture itself: a whole document per copy, in the order of the global shuffle."""
+    return mixing.replicated(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replication plan: a row per copy, in the order of the global shuffle."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.replicated(docs).withColumn("rate", F.round("rate", 6))
+    """The replication plan, read from the mixture: whole documents are copied, shuffled and
+    written to the shared folder first, and the columns that SQL compares are read there."""
+    path = f"{checkpoint_dir(spark)}/mixture-{uuid.uuid4().hex}"
+    op6_mixed_rows(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path).select("doc_id", "source", "rate", "n_copies", "copy", "shuffle_key")
 
 
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_personal_data,
         op5_sharding,
         op6_poisson_mixing,
+        op6_mixed_rows,
         op7_circulant_minhash,
         op8_decision_lists,
         op9_language_id,

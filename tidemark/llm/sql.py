@@ -64,3 +64,9 @@ SELECT doc_id, source, round(rate, 6) AS rate, n_copies, copy,
        md5('mixture:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key
 FROM copies
 """
+
+# The same plan, joined to the whole documents.
+ORACLE["op6_mixed_rows"] = f"""
+SELECT doc_id, text, lang, documents.source AS source, n_chars, rate, n_copies, copy, shuffle_key
+FROM ({ORACLE["op6_poisson_mixing"]}) AS plan JOIN documents USING (doc_id)
+"""
