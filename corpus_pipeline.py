@@ -12,7 +12,7 @@ from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import ADDED, replicated
 from tidemark.llm.queries import table
-from tidemark.llm.sharding import interleaved
+from tidemark.llm.sharding import sharded
 from tidemark.llm.toxicity import without_toxic
 from tidemark.operators.stage import checkpoint_dir
 
@@ -49,8 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row the mixture holds."""
-    return interleaved(docs)
+    """The rows of the mixture with their shard and slot."""
+    return sharded(docs)
 
 
 STAGES = [

@@ -361,6 +361,27 @@ def test_shards_hold_the_mixture(spark, odd, none):
     assert sharding.interleaved(none).count() == 0
 
 
+def test_shards_hold_the_rows_themselves(spark, odd, none, tmp_path):
+    docs = odd.unionByName(odd.where("doc_id > 3"))
+    plan = Counter(tuple(r) for r in sharding.interleaved(docs).drop("source").collect())
+    for path in (None, str(tmp_path / "shards")):
+        rows = sharding.sharded(docs, path=path)
+        assert set(rows.columns) == {*docs.columns, "slot"}
+        assert Counter(tuple(r) for r in sharding.digest(rows).drop("source").collect()) == plan
+        own = [c for c in docs.columns if c != "shard"]
+        assert Counter(tuple(r) for r in rows.select(own).collect()) == Counter(
+            tuple(r) for r in docs.select(own).collect()
+        )
+    assert len(list((tmp_path / "shards").glob("shard=*"))) == sharding.SHARDS
+    assert sharding.sharded(none).count() == 0
+    stage = corpus_pipeline.sharding(spark, docs, SF)
+    assert {"text", "lang", "score", "slot"} <= set(stage.columns) and stage.count() == docs.count()
+    query = queries.QUERIES["op5_sharding"](spark, SF)
+    assert all("/shard=" in f for f in query.inputFiles())
+    known = queries.table(spark, SF, "documents")
+    assert Counter(query.collect()) == Counter(sharding.interleaved(known).drop("source").collect())
+
+
 def test_copies_follow_given_weights(spark, odd, none):
     docs = spark.range(6000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source")
