@@ -115,11 +115,11 @@ def sharded(
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     numbered = docs.select(*kept, F.monotonically_increasing_id().alias("_row"))
     folder = f"{checkpoint_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
-    numbered.write.parquet(folder)
+    numbered.write.option("compression", "zstd").parquet(folder)
     own = docs.sparkSession.read.schema(numbered.schema).parquet(folder)
     spots = placed(own, shards, seed, doc_id, text, source, "_row").select("_row", "shard", "slot")
     rows = own.join(spots, "_row").drop("_row")
     if path is None:
         return rows
-    rows.write.partitionBy("shard").parquet(path)
+    rows.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path).select(*[F.col(f"`{c}`") for c in rows.columns])
