@@ -5,11 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import set_aside
 from tidemark.llm.decontaminate import decontaminated
-from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.minhash import one_of_each_group
 from tidemark.llm.mixing import ADDED, replicated
 from tidemark.llm.queries import table
 from tidemark.llm.sharding import sharded
@@ -23,18 +22,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, 0.8): the smallest id.
+    """One row of each near-duplicate group (five-word shingles, 0.8): the smallest id.
 
-    Rows that share an id are one document. A null id stays only where its text is alone.
+    Rows are chosen, not ids: repeated rows, texts under one id and null ids are told apart.
     """
-    kept = (
-        near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("kept_id"))
-        .distinct()
-        .hint("shuffle_hash")
-    )
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,6 +189,27 @@ def test_odd_rows_of_near_duplicates(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, odd, none):
+    other, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [
+        (None, ""), (None, ""), (None, None), (5, ""), (5, ""),  # empty texts: all stay
+        (None, third), (None, third), (None, third + " end"),  # a group without any id
+        (3, SAME), (3, SAME), (None, SAME), (4, SAME),  # repeated row, null id, larger id
+        (7, other), (3, other + " end"), (9, other),  # the id 3 again, for another group
+        (4, "alone " + LONG[:400]), (None, "quite alone"),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, m string")
+    out = corpus_pipeline.near_dedup(spark, docs.repartition(3), SF)
+    assert out.columns == docs.columns
+    stay = [(r["doc_id"], r["text"]) for r in out.collect()]
+    third_kept = [r for r in stay if r[0] is None and r[1] and r[1].startswith(third)]
+    assert len(third_kept) == 1
+    expected = [*rows[:5], third_kept[0], rows[8], rows[13], *rows[15:]]
+    assert Counter(stay) == Counter(expected)
+    assert corpus_pipeline.near_dedup(spark, odd, SF).columns == odd.columns
+    assert corpus_pipeline.near_dedup(spark, none, SF).count() == 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     found = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()

@@ -272,17 +272,12 @@ def common_elements(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarr
     return out.astype(np.int64)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    shingle_words: int = FIVE_WORDS,
-    percent: int = 80,
-    hashes: int = HASHES,
-    bands: int = BANDS,
-) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``.
+def text_hash(text: str = "text"):
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``; options as of ``groups_of_rows``.
 
     Words are runs of non-blank characters after lower-casing A-Z. Rows are linked when
     ``100 * intersection >= percent * union`` on their distinct shingles; component_id is the
@@ -294,14 +289,65 @@ def near_duplicates(
     Rows whose id is null join components by their text and never name one. An empty table
     gives an empty result; other columns are ignored.
     """
+    found = groups_of_rows(docs, doc_id=doc_id, **options)
+    return found.select(F.col("id").alias(doc_id), "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate group, one of each.
+
+    It is the row with the smallest id (null ids last), then the smallest hash of its text; of
+    rows that are equal in both, one stays. Rows without a shingle are groups of their own and
+    all stay. Chosen are ids with text hashes, so the documents are shuffled once by them; only
+    chosen rows that are repeated are then grouped, with map-side combine.
+    """
+    found = groups_of_rows(docs, doc_id=doc_id, text=text, hashed=True, **options)
+    found = freeze(found.select("id", "hash", "n_shingles", "group"))
+    counted = found.where("n_shingles > 0").groupBy("group", "id", "hash").agg(F.count("*").alias("m"))
+    first = counted.groupBy("group").agg(
+        F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash", "m")).alias("first")
+    )
+    kept = freeze(
+        first.select("first.id", "first.hash", "first.m")
+        .unionByName(found.where("n_shingles = 0").select("id", "hash", F.lit(0).cast("bigint").alias("m")).distinct())
+        .select(F.col("id").alias("_kept_id"), F.col("hash").alias("_kept_hash"), F.col("m").alias("_kept_rows"))
+    )
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    matched = docs.join(
+        kept.hint("shuffle_hash"),
+        F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id")) & (text_hash(text) == F.col("_kept_hash")),
+    )
+    if kept.where("_kept_rows > 1").isEmpty():
+        return matched.select(*own)
+    once = matched.where("_kept_rows < 2").select(*own)
+    repeated = matched.where("_kept_rows > 1").dropDuplicates(["_kept_id", "_kept_hash"]).select(*own)
+    return once.unionByName(repeated)
+
+
+def groups_of_rows(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle_words: int = FIVE_WORDS,
+    percent: int = 80,
+    hashes: int = HASHES,
+    bands: int = BANDS,
+    hashed: bool = False,
+) -> DataFrame:
+    """(id, n_shingles, component_id, group) for every row, and the hash of its text if asked.
+
+    The group is the least node of the component, and null for rows without a shingle.
+    """
+    kept = ["id", "hash"] if hashed else ["id"]
     base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("body"))
     rows = freeze(
         with_text_columns(
-            base,
+            base.withColumn("hash", text_hash("body")) if hashed else base,
             lambda: _describe(shingle_words, hashes, bands),
             "n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>",
             text="body",
-            keep=["id"],
+            keep=kept,
         ).withColumn("row", F.monotonically_increasing_id())
     )
     nodes = freeze(
@@ -364,17 +410,21 @@ def near_duplicates(
         .groupBy("root")
         .agg(F.min("id").alias("component_id"))
     )
-    named = groups.join(least, "root").select("node", "component_id")
+    named = groups.join(least, "root").select("node", "root", "component_id")
     final = freeze(
         nodes.join(named, "node", "left").select(
-            "print_a", "print_b", F.coalesce("component_id", "id").alias("component_id")
+            "print_a",
+            "print_b",
+            F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.coalesce("root", "node").alias("group"),
         )
     )
-    full = rows.where("n_shingles > 0").select("id", "n_shingles", "print_a", "print_b")
-    empty = rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    full = rows.where("n_shingles > 0").select(*kept, "n_shingles", "print_a", "print_b")
+    empty = rows.where("n_shingles = 0").select(
+        *kept, "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("group")
+    )
     return (
         full.join(final, ["print_a", "print_b"])
-        .select("id", "n_shingles", "component_id")
+        .select(*kept, "n_shingles", "component_id", "group")
         .unionByName(empty)
-        .withColumnRenamed("id", doc_id)
     )
