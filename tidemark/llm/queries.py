@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.stage import checkpoint_dir
 
-from . import decontaminate, langid, minhash, mixing, nbsvm, pii, rules, sharding, suffix_dedup, toxicity
+from . import alignment, collocations, decontaminate, langid, minhash, mixing, nbsvm, pii, rules, sharding, suffix_dedup, toxicity, urls
 
 # fixed values: column types of the tables that are read here
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "benchmark": "item_id bigint, text string",
     "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
 }
 
 
@@ -77,6 +78,23 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_quality(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_digest(table(spark, sf_dir, "pages"))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed rules alone: host, path, the rule that decides and its verdict."""
+    return urls.with_rules(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,5 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decision_lists,
         op9_language_id,
         op10_quality_nbsvm,
+        op11_token_alignment,
+        op12_collocations,
+        op13_url_filter,
+        op13_url_rules,
     )
 }

@@ -70,3 +70,66 @@ ORACLE["op6_mixed_rows"] = f"""
 SELECT doc_id, text, lang, documents.source AS source, n_chars, rate, n_copies, copy, shuffle_key
 FROM ({ORACLE["op6_poisson_mixing"]}) AS plan JOIN documents USING (doc_id)
 """
+
+# Every phrase of up to four words counted, every cut scored, inner phrases looked up directly.
+ORACLE["op12_collocations"] = r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS t
+    FROM documents
+), word AS (
+    SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece
+), total AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM word GROUP BY lang
+), place AS (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+    FROM word CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size
+), often AS (
+    SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f, any_value(w[i:i + size - 1]) AS w
+    FROM place GROUP BY 1, 2
+), candidate AS (
+    SELECT lang, phrase, w, len(w) AS size, f AS a FROM often WHERE f >= 30 AND len(w) > 1
+), cut AS (
+    SELECT lang, phrase, w, size, a, unnest(range(1, size)) AS k FROM candidate
+), scored AS (
+    SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, k,
+           CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+    FROM cut AS c
+    JOIN often AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+    JOIN often AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:size], ' ')
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, size - m + 2)) AS i
+          FROM (SELECT *, unnest(range(2, size)) AS m FROM candidate WHERE size > 2))
+    GROUP BY 1, 2
+), kept AS (
+    SELECT weakest.* FROM weakest LEFT JOIN inside USING (lang, phrase)
+    WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE["op13_url_rules"] = r"""
+WITH parts AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+), split AS (
+    SELECT page_id,
+           translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+    FROM parts
+), listed(verdict, h, p) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+           ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+    SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+    FROM split JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+    GROUP BY page_id
+)
+SELECT page_id, host, path, rule, verdict FROM split LEFT JOIN fits USING (page_id)
+"""
