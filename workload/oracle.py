@@ -159,7 +159,7 @@ enrolled AS (
                          - greatest(e.coverage_start, c.t - 365) + 1)) AS n
   FROM cand c JOIN enrollment e USING (patient_id) GROUP BY ALL)""",
         f"""
-facts AS (
+facts AS MATERIALIZED (
   SELECT c.patient_id || '__' || strftime(c.t, '%Y%m%d') AS snapshot_id, c.patient_id, c.t,
          f.first_fill, o.outcome, coalesce(v.covered, 0) AS covered,
          coalesce(v.widest, 180) AS widest,
