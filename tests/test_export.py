@@ -7,6 +7,8 @@ from tests.conftest import day
 from tidemark.operators import quality
 from tidemark.schema import TABLES, ContractError, LeakageError
 from tidemark.sources import export, projections, sinks
+from tidemark.sources.audit import Audit
+from tidemark.sources.directory import save_directory
 
 
 def queries(tables, prefix):
@@ -87,3 +89,48 @@ def test_column_inventory(tables):
     assert inventory.where("table = 'plans'").count() == 2
     missing = quality.missing_tables(inventory, ["plans", "absent"]).collect()
     assert [r["table"] for r in missing] == ["absent"]
+
+
+def test_files_are_held_against_their_manifest(spark, tables, tmp_path):
+    folder = str(tmp_path / "claims")
+    save_directory(tables, folder, "parquet")
+    export.write_file_manifest(spark, folder)
+    assert export.load_verified(spark, folder, required=True)["patients"].count() == 3
+    assert export.file_differences(spark, folder).count() == 0
+    tables["plans"].where("plan_id = 'basic'").coalesce(1).write.mode("append").parquet(f"{folder}/plans.parquet")
+    found = export.file_differences(spark, folder).collect()
+    assert [(r["table"], r["state"], r["rows_now"]) for r in found] == [("plans", "added", 1)]
+    with pytest.raises(ContractError, match="plans: 1 added"):
+        export.load_verified(spark, folder)
+    other = str(tmp_path / "bare")
+    save_directory(tables, other, "parquet")
+    assert export.load_verified(spark, other)["plans"].count() == 2
+    with pytest.raises(ContractError, match="no file manifest"):
+        export.load_verified(spark, other, required=True)
+
+
+def test_statements_are_judged_by_their_verb_alone():
+    for text in (
+        "select update, truncate(x) as create from t",
+        "with a as (select 1 as x), b as (select ')' as y from a) select * from b",
+        "WITH a(x) AS (SELECT 1) SELECT 'delete from t; drop' AS s FROM a -- insert",
+    ):
+        assert export.select_only(text)
+    for text in ("with a as (select 1) delete from t", "insert into t select 1", "select 1; select 2"):
+        with pytest.raises(ContractError):
+            export.select_only(text)
+
+
+def test_audit_takes_its_figures_from_the_write(spark, tables, tmp_path):
+    audit = Audit(spark, str(tmp_path / "audit"))
+    plans = audit.write(tables["plans"], "plans")
+    assert plans.count() == 2
+    rows = {(r["measure"], r["column"]): r["value"] for r in audit.frame().collect()}
+    recorded = export.content_digest(tables["plans"]).first()
+    assert rows["rows", ""] == str(recorded[0]) and rows["digest", ""] == recorded[1]
+    assert rows["nulls", "payer_type"] == "0"
+    empty = audit.write(tables["enrollment"].where("1 = 0"), "enrollment")
+    assert empty.count() == 0 and empty.columns == tables["enrollment"].columns
+    last = {(r["measure"], r["column"]): r["value"] for r in audit.frame().where("table = 'enrollment'").collect()}
+    assert last["rows", ""] == "0" and last["min", "coverage_start"] is None
+    assert last["digest", ""] == export.content_digest(empty).first()[1]

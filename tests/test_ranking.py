@@ -253,7 +253,7 @@ def test_model_fit_imputes_from_train_and_rejects_overlap(spark):
     assert set(fitted.candidates) == {"boosted_trees", "logistic_regression"}
     scored = fitted.score(validation.withColumn("x", F.lit(None).cast("double")))
     assert all(0 <= r["risk_score"] <= 1 for r in scored.collect())
-    with pytest.raises(ValueError, match="disjoint"):
+    with pytest.raises(ValueError, match="in the training and in the validation"):
         models.fit_baselines(train, train, ["x"])
     with pytest.raises(LeakageError):
         models.fit_baselines(train, validation, ["label"])
@@ -303,11 +303,14 @@ def test_history_and_sequences(spark):
     assert values[1] == [2.0, 2.0, 2.0, 2.0, 19.0]
 
 
-def test_feature_audit_and_post_index(spark):
+def test_feature_and_event_date_rules(spark):
     df = spark.createDataFrame([("s", 1.0), ("s", float("inf"))], "snapshot_id string, label double")
-    checks = {r["check"] for r in quality.feature_audit(df).collect()}
-    assert checks == {"forbidden_feature_name", "duplicate_or_missing_snapshot", "infinite_value"}
+    found = {r["rule"]: r["violations"] for r in quality.feature_violations(df).collect()}
+    assert found == {"label_forbidden": 1, "label_infinite": 1, "snapshot_id_repeated": 1}
+    with pytest.raises(LeakageError):
+        quality.require_no_leakage(df)
     cohort = spark.createDataFrame([("p", d("2024-01-01"))], "patient_id string, index_date date")
     events = spark.createDataFrame([("p", d("2024-01-02"))], "patient_id string, at date")
     with pytest.raises(LeakageError):
-        quality.require_no_post_index_events(events, cohort, "at")
+        quality.require_no_late_events(events, cohort, "at", key="patient_id")
+    assert quality.late_events(events, cohort, "at", key="patient_id").count() == 1

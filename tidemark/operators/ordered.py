@@ -46,6 +46,32 @@ def _fill(
     return df.withColumns(out)
 
 
+def numbered(df: DataFrame, order: Order, position: str, chunks: int | None = None) -> DataFrame:
+    """1-based positions in one order over all rows, from the sorted range partitions themselves.
+
+    One shuffle of the rows. A row's place in its partition is part of its generated number; the
+    rows of earlier partitions are added, one small row per partition.
+    """
+    ranged = df.repartitionByRange(chunks or chunks_of(df), *_sorts(order))
+    placed = freeze(
+        ranged.sortWithinPartitions(*_sorts(order)).withColumn("_place", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()
+    before, rows = 0, []
+    for part_id, n in sorted((r["_part"], r["n"]) for r in sizes):  # one row per partition
+        rows.append((part_id, before))
+        before += n
+    carry = df.sparkSession.createDataFrame(rows, "_part bigint, _before bigint")
+    own = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(carry), "_part")
+        .withColumn(position, F.col("_before") + own)
+        .select(*df.columns, position)
+    )
+
+
 def scan_in_order(
     df: DataFrame,
     order: Order,
@@ -69,6 +95,8 @@ def scan_in_order(
             raise ValueError("A window without keys must be spread")
         return _fill(df, Window.partitionBy(*keys), order, position, totals, previous)
 
+    if position and not (keys or totals or previous):
+        return numbered(df, order, position, chunks)
     count = chunks or chunks_of(df)
     ranged = df.repartitionByRange(count, *[F.col(k) for k in keys], *_sorts(order))
     frozen = freeze(ranged.withColumn(CHUNK, F.spark_partition_id()))

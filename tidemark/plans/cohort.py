@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.claims import is_advanced, is_conventional, is_valid, known_from, member, reversal
 from ..operators.intervals import covered_days, islands, widest_gap, with_reach
 from ..operators.skew import hot_keys, salted_join
+from ..sources.audit import Audit, count_measures
 from ..params import Study, Timeline
 
 # fixed values: exclusion reasons, in the order they are tested
@@ -415,8 +416,8 @@ def build_cohort(
 
     Labelled snapshots are mature at ``as_of``; scoring snapshots carry no outcome column,
     need observation only up to the index, and exclude every advanced exposure known then,
-    including inside the predictor lag. A caller that consumes both outputs should persist
-    or write ``assess`` itself.
+    including inside the predictor lag. A caller that consumes both outputs takes
+    ``write_cohort``, which derives them once.
     """
     assessed = assess(tables, study, labelled=labelled, hot=hot)
     return Cohort(
@@ -427,6 +428,34 @@ def build_cohort(
     )
 
 
+#: Outcome of the candidates that passed every rule, as a folder name beside the reasons.
+KEPT = "eligible"
+
+
+def write_cohort(
+    tables: dict[str, DataFrame],
+    study: Study,
+    audit: Audit,
+    name: str = "cohort",
+    *,
+    labelled: bool = True,
+    hot: list[tuple] | None = None,
+) -> Cohort:
+    """The cohort of ``build_cohort`` from one derivation: every candidate's facts are written
+    once, a folder for each outcome, and both outputs read their own folders. The number of
+    candidates by outcome is observed while writing and goes to the audit."""
+    assessed = assess(tables, study, labelled=labelled, hot=hot)
+    facts = assessed.withColumn("outcome", F.coalesce("reason", F.lit(KEPT))).drop("reason")
+    measures = {("rows", ""): F.count(F.lit(1))} | count_measures("outcome", (KEPT, *REASONS))
+    written = audit.write(facts, name, measures, partition_by=("outcome",))
+    return Cohort(
+        written.where(F.col("outcome") == KEPT).drop("outcome"),
+        written.where(F.col("outcome") != KEPT).select(
+            "snapshot_id", "patient_id", "index_date", F.col("outcome").alias("reason")
+        ),
+    )
+
+
 def require_snapshots(snapshots: DataFrame) -> DataFrame:
     if not snapshots.limit(1).count():
         raise ValueError("The cohort is empty: no snapshot passed every rule")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
@@ -13,9 +14,10 @@ from ..operators.ranking import rank_patients
 from ..operators.stage import freeze
 from ..params import Study
 from ..schema import ContractError
+from ..sources.audit import Audit
 from ..sources.directory import canonicalize
 from ..sources.sinks import write_field_csv, write_restricted
-from .cohort import Cohort, build_cohort, hot_patients, require_snapshots
+from .cohort import Cohort, build_cohort, hot_patients, require_snapshots, write_cohort
 from .events import build_events
 from .features import build_features, feature_names
 from .models import (
@@ -23,6 +25,7 @@ from .models import (
     Baselines,
     DeliveryModel,
     comparison,
+    feature_schema,
     fit_baselines,
     score_difference,
 )
@@ -43,16 +46,30 @@ def check_maturity(study: Study, scoring_date: date) -> None:
 
 
 def prepare(
-    tables: dict[str, DataFrame], study: Study, *, check: bool = True, hot=None
+    tables: dict[str, DataFrame],
+    study: Study,
+    *,
+    check: bool = True,
+    hot=None,
+    audit: Audit | None = None,
 ) -> Prepared:
-    """Canonical tables to a validated training bundle."""
+    """Canonical tables to a validated training bundle.
+
+    With an audit, cohort, features and events are written to its folder instead of being frozen;
+    their figures, and the number of excluded candidates by reason, come from those writes.
+    """
     hot = hot_patients(tables) if hot is None else hot
-    snapshots = freeze(build_cohort(tables, study, hot=hot).snapshots)
+    if audit is None:
+        keep = lambda df, _: freeze(df)
+        snapshots = freeze(build_cohort(tables, study, hot=hot).snapshots)
+    else:
+        keep = audit.write
+        snapshots = write_cohort(tables, study, audit, "training_cohort", hot=hot).snapshots
     require_snapshots(snapshots)
     bundle = Prepared(
         snapshots,
-        freeze(build_features(tables, snapshots, study, hot=hot)),
-        freeze(build_events(tables, snapshots, hot=hot)),
+        keep(build_features(tables, snapshots, study, hot=hot), "training_features"),
+        keep(build_events(tables, snapshots, hot=hot), "training_events"),
         tuple(feature_names(study)),
     )
     return validate_prepared(bundle, study) if check else bundle
@@ -97,11 +114,17 @@ def scoring_batch(
 
 
 def training_bundle(
-    tables: dict[str, DataFrame], study: Study, scoring_date: date, *, check=True, hot=None
+    tables: dict[str, DataFrame],
+    study: Study,
+    scoring_date: date,
+    *,
+    check=True,
+    hot=None,
+    audit: Audit | None = None,
 ) -> Prepared:
     """Training data as it stood at the scoring date."""
     mature = replace(study, timeline=replace(study.timeline, as_of=scoring_date))
-    return prepare(tables, mature, check=check, hot=hot)
+    return prepare(tables, mature, check=check, hot=hot, audit=audit)
 
 
 @dataclass
@@ -122,6 +145,7 @@ def train(
     scoring_date: date,
     *,
     trainer: Trainer = fit_baselines,
+    kind: str = "unverified",
     **options,
 ) -> Training:
     """Split, fit on train, select on validation, compare on validation and test."""
@@ -150,6 +174,8 @@ def train(
         cutoff,
         study.policy_hash(),
         baselines.evidence,
+        feature_schema(frame, bundle.features),
+        kind,
     )
     held_out = {s: parts[s] for s in ("validation", "test")}
     return Training(
@@ -184,10 +210,15 @@ def deliver(
     scoring_date: date,
     *,
     data_scope: str = "unverified local data",
+    kind: str = "unverified",
 ) -> Delivery:
     """Score the live batch and turn it into the provider table."""
     rules = study.targets
-    scored = freeze(model.predict(batch.modeling_frame(), study, scoring_date))
+    scored = freeze(
+        model.predict(
+            batch.modeling_frame(), study, scoring_date, offered=batch.features, kind=kind
+        )
+    )
     if batch.snapshots.limit(1).count():
         patients = freeze(rank_patients(scored, SCORE, fraction=rules.patient_fraction))
     else:
@@ -213,7 +244,7 @@ def write_delivery(result: Delivery, output: str, restricted: str) -> None:
     write_restricted(result.patients, f"{restricted}/patient_scores")
     write_restricted(result.attribution, f"{restricted}/patient_hcp_attribution")
     write_restricted(result.batch.snapshots, f"{restricted}/scoring_cohort")
-    write_field_csv(result.targets, f"{output}/hcp_targets")
+    write_field_csv(result.targets, f"{output}/hcp_targets", order=[("hcp_rank", True)])
 
 
 def run(
@@ -225,21 +256,40 @@ def run(
     restricted: str,
     model_path: str | None = None,
     columns=None,
+    kind: str = "unverified",
     **options,
 ) -> tuple[Delivery, Training | None]:
-    """Train and score (or, with ``model_path`` of an earlier run, score only) and write."""
+    """Train and score (or, with ``model_path`` of an earlier run, score only) and write.
+
+    The canonical tables and the training bundle are written once below ``restricted``, and all
+    steps read them there; the audit observed in these writes, with split counts, comparison and
+    seconds by step, goes to ``output``.
+    """
     check_maturity(study, scoring_date)
-    canonical = canonicalize(tables, columns)
+    began = time.perf_counter()
+    audit = Audit(tables["patients"].sparkSession, f"{restricted}/data")
+    checked = canonicalize(tables, columns)
+    canonical = {name: audit.write(df, name) for name, df in checked.items()}
     hot = hot_patients(canonical)
     training = None
     batch = scoring_batch(canonical, study, scoring_date, hot=hot)
+    seconds = {"tables_and_batch": time.perf_counter() - began}
     if model_path is None:
-        bundle = training_bundle(canonical, study, scoring_date, hot=hot)
-        training = train(bundle, study, scoring_date, **options)
+        began = time.perf_counter()
+        bundle = training_bundle(canonical, study, scoring_date, hot=hot, audit=audit)
+        training = train(bundle, study, scoring_date, kind=kind, **options)
+        seconds["training"] = time.perf_counter() - began
+        for row in (r.asDict() for r in training.counts.collect()):  # one row per part
+            audit.add(f"split:{row.pop('split')}", "count", row)
+        for row in (r.asDict() for r in training.comparison.collect()):  # models x parts
+            audit.add(f"model:{row.pop('model')}:{row.pop('split')}", "comparison", row)
         sample = training.split.where(F.col("split") == "validation")
         model = verify_reload(training.model, sample, f"{restricted}/model")
     else:
         model = DeliveryModel.load(canonical["patients"].sparkSession, model_path)
-    result = deliver(batch, model, study, scoring_date)
+    began = time.perf_counter()
+    result = deliver(batch, model, study, scoring_date, kind=kind)
     write_delivery(result, output, restricted)
+    audit.add("run", "seconds", seconds | {"delivery": time.perf_counter() - began})
+    audit.frame().coalesce(1).write.mode("overwrite").json(f"{output}/audit")
     return result, training

@@ -24,6 +24,7 @@ from ..operators.asof import status_at
 from ..operators.intervals import covered_days, merge_starts, widest_gap, with_reach
 from ..operators.ordered import scan_in_order
 from ..operators.skew import hot_keys, lookup, salted_join
+from ..operators.stage import freeze
 from ..params import Study
 from ..functions.leakage import validate_predictor_names
 from .cohort import hot_patients
@@ -50,19 +51,9 @@ def _flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def count_features(
-    tables: dict[str, DataFrame],
-    snapshots: DataFrame,
-    study: Study,
-    *,
-    hot: list[tuple] | None = None,
-) -> DataFrame:
-    """Trailing counts, costs, recencies, accelerations and code-list counts."""
-    rules, timeline = study.features, study.timeline
-    hot = hot_patients(tables) if hot is None else hot
-    marks = snapshots.select(
-        "patient_id", "snapshot_id", "index_date", "feature_cutoff", "lookback_start"
-    )
+def _medical_rows(tables, marks: DataFrame, study: Study, hot) -> DataFrame:
+    """Medical claims in view of each snapshot, as flags to be summed."""
+    rules = study.features
     specialists = tables["providers"].where(member("specialty", rules.specialists)).select(
         "provider_id", F.lit(True).alias("is_specialist")
     )
@@ -88,7 +79,7 @@ def count_features(
     special = valid & F.col("is_specialist").isNotNull()
     days = F.datediff("index_date", "claim_date")
     nothing = F.lit(0)
-    medical = med.select(
+    return med.select(
         "patient_id",
         "snapshot_id",
         days.alias("days"),
@@ -109,13 +100,23 @@ def count_features(
         F.when(valid, days).alias("diagnosis_age"),
         F.when(special, days).alias("specialist_age"),
     )
+
+
+def _in_events() -> Column:
+    return (F.col("fill_date") <= F.col("feature_cutoff")) & (
+        F.col("fill_date") >= F.col("lookback_start")
+    )
+
+
+def _pharmacy_rows(tables, marks: DataFrame, study: Study, hot) -> DataFrame:
+    """Fills in view of each snapshot, as flags to be summed."""
+    rules, timeline = study.features, study.timeline
+    nothing = F.lit(0)
     rx = tables["pharmacy_claims"]
     known = (known_from("fill_date", timeline.lag_days) <= F.col("index_date")) & (
         F.col("fill_date") >= F.date_sub("index_date", max(rules.windows))
     )
-    in_events = (F.col("fill_date") <= F.col("feature_cutoff")) & (
-        F.col("fill_date") >= F.col("lookback_start")
-    )
+    in_events = _in_events()
     rx = salted_join(
         rx.withColumn("gone", reversal(rx)).select(
             "patient_id", "fill_date", "available_date", "status", "gone", "drug_id",
@@ -128,7 +129,7 @@ def count_features(
     )
     now = status_at("status", F.col("gone"), "index_date")
     no_age = F.lit(None).cast("int")
-    pharmacy = rx.select(
+    return rx.select(
         "patient_id",
         "snapshot_id",
         F.datediff("index_date", "fill_date").alias("days"),
@@ -145,6 +146,11 @@ def count_features(
         no_age.alias("diagnosis_age"),
         no_age.alias("specialist_age"),
     )
+
+
+def _rolled_up(rows: DataFrame, study: Study) -> DataFrame:
+    """Flags by snapshot and age band first, then the nested windows over the few bands."""
+    rules = study.features
     bands = _bands(study)
     band = reduce(
         lambda rest, edge: F.when(F.col("days") <= edge, edge).otherwise(rest),
@@ -152,14 +158,10 @@ def count_features(
         F.lit(bands[-1] + 1),
     )
     summed = (*BANDED, "valid_diagnosis", "symptom_count", "comorbidity_count")
-    by_band = (
-        medical.unionByName(pharmacy)
-        .groupBy("patient_id", "snapshot_id", band.alias("band"))
-        .agg(
-            *[F.sum(c).alias(c) for c in summed],
-            F.min("diagnosis_age").alias("diagnosis_age"),
-            F.min("specialist_age").alias("specialist_age"),
-        )
+    by_band = rows.groupBy("patient_id", "snapshot_id", band.alias("band")).agg(
+        *[F.sum(c).alias(c) for c in summed],
+        F.min("diagnosis_age").alias("diagnosis_age"),
+        F.min("specialist_age").alias("specialist_age"),
     )
 
     def within(column: str, low: int, high: int) -> Column:
@@ -171,7 +173,7 @@ def count_features(
         for w in rules.windows
         for c in BANDED
     }
-    sentinel = F.lit(rules.sentinel(timeline))
+    sentinel = F.lit(rules.sentinel(study.timeline))
     for name, counted in (("diagnosis", "valid_diagnosis"), ("specialist", "specialist_visits")):
         recent, prior = within(counted, 0, 90), within(counted, 90, 180)
         columns[f"days_since_last_{name}"] = F.coalesce(F.min(f"{name}_age"), sentinel)
@@ -179,7 +181,29 @@ def count_features(
         columns[f"{name}_recent_prior_ratio"] = (recent + 1) / (prior + 1)
     for name in ("symptom_count", "comorbidity_count"):
         columns[name] = F.sum(name).cast("int")
-    return by_band.groupBy("snapshot_id").agg(*[e.alias(n) for n, e in columns.items()])
+    return by_band.groupBy("patient_id", "snapshot_id").agg(*[e.alias(n) for n, e in columns.items()])
+
+
+def _windows_of(snapshots: DataFrame) -> DataFrame:
+    return snapshots.select(
+        "patient_id", "snapshot_id", "index_date", "feature_cutoff", "lookback_start"
+    )
+
+
+def count_features(
+    tables: dict[str, DataFrame],
+    snapshots: DataFrame,
+    study: Study,
+    *,
+    hot: list[tuple] | None = None,
+) -> DataFrame:
+    """Trailing counts, costs, recencies, accelerations and code-list counts."""
+    hot = hot_patients(tables) if hot is None else hot
+    marks = _windows_of(snapshots)
+    rows = _medical_rows(tables, marks, study, hot).unionByName(
+        _pharmacy_rows(tables, marks, study, hot)
+    )
+    return _rolled_up(rows, study).drop("patient_id")
 
 
 def count_defaults(study: Study) -> dict[str, float]:
@@ -388,6 +412,156 @@ def therapy_features(
     )
 
 
+PHARMACY = ("pharmacy_count", "rejected_rx", "reversed_rx", "patient_cost")
+
+
+def pharmacy_pass(tables: dict[str, DataFrame], snapshots: DataFrame, study: Study) -> DataFrame:
+    """Counts, coverage, therapy and last fill of every snapshot, from one pass over the fills.
+
+    The fills meet the landmarks once, by patient. Everything after that keeps the patient's
+    partitioning, so nothing is shuffled again: one window sorts the fills of a snapshot and
+    gives each the reach of earlier cover and the conventional fill before it; sums per drug and
+    then per snapshot follow; running extremes over a patient's snapshots carry the first and
+    the last fill of the whole history. For patients whose fills fit a task; hot ones go
+    through the separate plans, which spread them.
+    """
+    rules, timeline = study.features, study.timeline
+    rx, index = tables["pharmacy_claims"], F.col("index_date")
+    fills = rx.select(
+        F.col("patient_id").alias("owner"),
+        "claim_id",
+        "fill_date",
+        "available_date",
+        "status",
+        reversal(rx).alias("gone"),
+        known_from("fill_date", timeline.lag_days).alias("known"),
+        "drug_id",
+        "prescriber_id",
+        "patient_cost",
+        F.date_add("fill_date", F.greatest(F.lit(0), F.col("days_supply"))).alias("supply_end"),
+        F.coalesce(is_valid() & is_conventional(study.arms), F.lit(False)).alias("conventional"),
+    )
+    high, history = F.date_add(index, 1), F.col("lookback_start")
+    recent_from, previous_from = F.date_sub(index, 89), F.date_sub(index, 179)
+    low = F.least(history, previous_from)
+    gone, known, before = F.col("gone"), F.col("known"), F.col("previous_index")
+    costed = (known <= index) & (F.col("fill_date") >= F.date_sub("index_date", max(rules.windows)))
+    listed = _in_events() & (costed | (F.col("available_date") <= index))
+    therapy = F.col("conventional") & _known_now()
+    recent = therapy & (F.col("fill_date") >= history)
+    fresh = therapy & (gone.isNotNull() | before.isNull() | (known > before))
+    covers = therapy & (F.col("supply_end") > low) & (F.col("supply_end") > F.col("fill_date"))
+    # Every snapshot stays, also without a fill: it takes part in the running extremes.
+    pairs = _landmarks(snapshots).join(
+        fills, (F.col("patient_id") == F.col("owner")) & (costed | listed | recent | fresh | covers), "left"
+    )
+    now = status_at("status", gone, "index_date")
+    fill = F.struct("fill_date", "claim_id", "drug_id", "prescriber_id")
+    key = ["patient_id", "snapshot_id", "index_date", "lookback_start"]
+    flagged = pairs.select(
+        *key,
+        "fill_date",
+        "claim_id",
+        "drug_id",
+        F.datediff("index_date", "fill_date").alias("days"),
+        _flag(listed & F.col("drug_id").isNotNull()).alias("pharmacy_count"),
+        _flag(costed & (now == "rejected")).alias("rejected_rx"),
+        _flag(costed & (now == "reversed")).alias("reversed_rx"),
+        F.when(costed, F.coalesce("patient_cost", F.lit(0.0))).otherwise(0.0).alias("patient_cost"),
+        F.when(covers, F.greatest("fill_date", low)).alias("s"),
+        F.when(covers, F.least("supply_end", high)).alias("e"),
+        F.coalesce(recent, F.lit(False)).alias("recent"),
+        F.when(fresh & gone.isNull(), fill).alias("carried"),
+        F.when(fresh & gone.isNotNull(), fill).alias("passing"),
+    )
+    earlier = (
+        Window.partitionBy("patient_id", "snapshot_id")
+        .orderBy("fill_date", "claim_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    former = F.last(F.when(F.col("recent"), F.struct("claim_id", "drug_id")), ignorenulls=True).over(earlier)
+    scanned = flagged.withColumns({"reach": F.max("e").over(earlier), "former": former}).withColumn(
+        "changed",
+        F.col("recent")
+        & F.col("former.claim_id").isNotNull()
+        & F.coalesce(F.col("drug_id") != F.col("former.drug_id"), F.lit(True)),
+    )
+    totals = {
+        f"{c}_{w}d": F.sum(F.when(F.col("days") <= w, F.col(c)).otherwise(F.lit(0)))
+        for w in rules.windows
+        for c in PHARMACY
+    }
+    latest = {
+        "last_carried": (F.max, "carried"), "last_passing": (F.max, "passing"),
+        "first_carried": (F.min, "carried.fill_date"), "first_passing": (F.min, "passing.fill_date"),
+    }
+    days = {
+        "history_days": (history, high),
+        "recent_days": (recent_from, high),
+        "previous_days": (previous_from, recent_from),
+    }
+    # The widest gap is the largest of the gaps before a fill and of the one behind the last end.
+    before_fill = F.when(
+        F.col("s").isNotNull(),
+        F.greatest(F.lit(0), F.datediff(F.least("s", high), F.greatest("reach", history))),
+    )
+    per_drug = scanned.groupBy(*key, "drug_id").agg(
+        *[e.alias(n) for n, e in totals.items()],
+        *[call(c).alias(n) for n, (call, c) in latest.items()],
+        *[covered_days("s", "e", "reach", a, b).alias(n) for n, (a, b) in days.items()],
+        F.max(before_fill).alias("gap"),
+        F.max("e").alias("end"),
+        F.count_if("changed").alias("changes"),
+        F.max(F.when(F.col("changed"), F.col("fill_date"))).alias("changed_on"),
+        F.max(F.when(F.col("recent"), F.col("fill_date"))).alias("filled_on"),
+    )
+    per = per_drug.groupBy(*key).agg(
+        *[F.sum(n).alias(n) for n in (*totals, *days)],
+        *[call(n).alias(n) for n, (call, _) in latest.items()],
+        F.max("gap").alias("gap"),
+        F.max("end").alias("end"),
+        F.sum("changes").cast("int").alias("therapy_changes"),
+        F.count(F.when(F.col("filled_on").isNotNull(), F.col("drug_id"))).cast("int").alias("therapies_tried"),
+        F.max("changed_on").alias("changed_on"),
+        F.max("filled_on").alias("filled_on"),
+    )
+    so_far = (
+        Window.partitionBy("patient_id")
+        .orderBy("index_date")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    last = F.greatest(F.max("last_carried").over(so_far), "last_passing")
+    first = F.least(F.min("first_carried").over(so_far), "first_passing")
+    carried = per.withColumns({"last": last, "first_fill": first})
+    sentinel = F.lit(rules.sentinel(timeline))
+    covered = F.col("end").isNotNull()
+    widest = F.greatest(
+        F.coalesce("gap", F.lit(0)),
+        F.greatest(F.lit(0), F.datediff(high, F.greatest("end", history))),
+    )
+    return carried.select(
+        "patient_id",
+        "snapshot_id",
+        *[F.col(n).cast("double" if n.startswith("patient_cost") else "int").alias(n) for n in totals],
+        F.when(covered, F.col("history_days") / F.datediff(high, history)).alias("proportion_days_covered"),
+        F.when(covered, widest).cast("int").alias("maximum_therapy_gap_days"),
+        F.when(covered, F.col("recent_days") / 90.0).alias("recent_coverage_90d"),
+        F.when(covered, F.col("previous_days") / 90.0).alias("previous_coverage_90d"),
+        F.when(covered, F.col("recent_days") / 90.0 - F.col("previous_days") / 90.0).alias("coverage_change"),
+        F.when(F.col("last.claim_id").isNotNull(), F.col("last.drug_id"))
+        .otherwise("unknown")
+        .alias("current_therapy"),
+        F.col("last.prescriber_id").alias("last_prescriber"),
+        "therapy_changes",
+        "therapies_tried",
+        F.coalesce(F.datediff("index_date", "first_fill"), F.lit(0)).alias("therapy_duration_days"),
+        F.coalesce(F.datediff("index_date", "filled_on"), sentinel).alias("days_since_last_rx"),
+        F.coalesce(F.datediff("index_date", "changed_on"), sentinel).alias(
+            "days_since_last_treatment_change"
+        ),
+    )
+
+
 def peer_features(
     tables: dict[str, DataFrame],
     snapshots: DataFrame,
@@ -395,17 +569,22 @@ def peer_features(
     *,
     hot: list[tuple] | None = None,
     hot_prescribers: list[tuple] | None = None,
+    last: DataFrame | None = None,
 ) -> DataFrame:
     """Other patients of the last conventional prescriber, and those on advanced therapy.
 
+    ``last`` may name the last prescriber of each snapshot, if the caller knows it already.
+
     The answer depends on (prescriber, index date) apart from leaving out the patient's own
     row. So patients are counted once per distinct landmark and the patient's own presence
     is subtracted, instead of pairing each snapshot with all fills of its prescriber.
     """
-    hot = hot_patients(tables) if hot is None else hot
-    dates = snapshots.select("snapshot_id", "lookback_start")
+    if last is None:
+        hot = hot_patients(tables) if hot is None else hot
+        last = last_fills(tables, snapshots, study, hot=hot)
+    dates = snapshots.select("snapshot_id", "patient_id", "index_date", "lookback_start")
     focal = (
-        last_fills(tables, snapshots, study, hot=hot)
+        last.select("snapshot_id", "last_prescriber")
         .join(dates, "snapshot_id")
         .select(
             "snapshot_id",
@@ -525,23 +704,37 @@ def build_features(
 ) -> DataFrame:
     """``snapshot_id, feature_as_of`` and the predictors, one row per snapshot.
 
-    The claim shuffles of the feature groups are identical up to their pruned columns, so
-    the groups stay independent sub-plans that meet at snapshot grain.
+    Fills and medical claims are exchanged by patient once each; what the fills give is frozen
+    at snapshot grain, since the peer counts start from it. With hot patients every feature
+    group is a plan of its own that spreads them.
     """
     study.features.check(study.timeline)
     names = feature_names(study)
     validate_predictor_names(names)
     hot = hot_patients(tables) if hot is None else hot
     person = tables["patients"].select("patient_id", "birth_year", "gender", "geography")
-    base = snapshots.select("snapshot_id", "patient_id", "index_date", "lookback_start")
-    wide = (
-        base.join(person, "patient_id", "left")
+    base = (
+        snapshots.select("snapshot_id", "patient_id", "index_date", "lookback_start")
+        .join(person, "patient_id", "left")
         .join(payer_features(tables, snapshots), "snapshot_id", "left")
-        .join(count_features(tables, snapshots, study, hot=hot), "snapshot_id", "left")
-        .join(coverage_features(tables, snapshots, study, hot=hot), "snapshot_id", "left")
-        .join(therapy_features(tables, snapshots, study, hot=hot), "snapshot_id", "left")
-        .join(peer_features(tables, snapshots, study, hot=hot), "snapshot_id", "left")
     )
+    if hot:
+        groups = [
+            count_features(tables, snapshots, study, hot=hot),
+            coverage_features(tables, snapshots, study, hot=hot),
+            therapy_features(tables, snapshots, study, hot=hot),
+            peer_features(tables, snapshots, study, hot=hot),
+        ]
+    else:
+        fills = freeze(pharmacy_pass(tables, snapshots, study))
+        counts = _rolled_up(_medical_rows(tables, _windows_of(snapshots), study, hot), study)
+        own = [c for c in counts.columns if c not in {"patient_id", *fills.columns}]
+        groups = [
+            fills.drop("patient_id", "last_prescriber"),
+            counts.select("snapshot_id", *own),
+            peer_features(tables, snapshots, study, hot=hot, last=fills),
+        ]
+    wide = reduce(lambda left, group: left.join(group, "snapshot_id", "left"), groups, base)
     window = F.datediff("index_date", "lookback_start") + 1
     missing = {
         "payer_type": F.lit("unknown"),

@@ -7,9 +7,9 @@ from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,27 @@ def feature_kinds(df: DataFrame, features: list[str]) -> tuple[list[str], list[s
     return numeric, [f for f in features if f not in numeric]
 
 
+#: Buckets of a category column. Every category has one, known or not, so the matrix has the same
+#: width for any number of categories and nothing is collected to fit it.
+CATEGORY_BUCKETS = 128
+
+
+def category_bucket(column: str, buckets: int = CATEGORY_BUCKETS) -> Column:
+    """The bucket of a category: the first 32 bits of an md5 of column and value."""
+    text = F.concat(F.lit(f"{column}="), F.col(column).cast("string"))
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
+
+
+def _one_hot(column: str, buckets: int) -> Column:
+    """Bucket columns that declare how many values there are, so that no pass has to count them."""
+    values = {"type": "nominal", "name": f"_i_{column}", "num_vals": buckets}
+    return category_bucket(column, buckets).cast("double").alias(f"_i_{column}", metadata={"ml_attr": values})
+
+
+def with_buckets(df: DataFrame, categorical: list[str], buckets: int = CATEGORY_BUCKETS) -> DataFrame:
+    return df.select("*", *[_one_hot(c, buckets) for c in categorical])
+
+
 def _stages(numeric: list[str], categorical: list[str], estimator, *, scale: bool) -> list:
     stages, inputs = [], []
     if numeric:
@@ -75,17 +96,10 @@ def _stages(numeric: list[str], categorical: list[str], estimator, *, scale: boo
             )
             inputs[-1] = "_scaled"
     if categorical:
-        index, onehot = [f"_i_{c}" for c in categorical], [f"_o_{c}" for c in categorical]
+        onehot = [f"_o_{c}" for c in categorical]
         stages.append(
-            StringIndexer(
-                inputCols=categorical,
-                outputCols=index,
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            )
+            OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical], outputCols=onehot, dropLast=False)
         )
-        # dropLast drops the extra "unseen" slot, so an unseen category is all zeros.
-        stages.append(OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True))
         inputs += onehot
     if not inputs:
         raise ValueError("At least one model feature is required")
@@ -93,6 +107,31 @@ def _stages(numeric: list[str], categorical: list[str], estimator, *, scale: boo
     return [*stages, estimator]
 
 
+def model_matrix(
+    df: DataFrame, features: list[str], imputation: Imputation, buckets: int = CATEGORY_BUCKETS
+) -> DataFrame:
+    """(snapshot_id, position, value): the sparse matrix that the models see before scaling.
+
+    Numeric predictors come first, in their order; then every category column has ``buckets``
+    positions, of which one holds a 1. Zeros are left out. Nothing is learnt but the fill values.
+    """
+    numeric, categorical = feature_kinds(df, features)
+    filled = imputation.apply(df)
+    cells = [F.struct(F.lit(k).alias("position"), F.col(c).alias("value")) for k, c in enumerate(numeric)]
+    cells += [
+        F.struct(
+            (category_bucket(c, buckets) + F.lit(len(numeric) + k * buckets)).alias("position"),
+            F.lit(1.0).alias("value"),
+        )
+        for k, c in enumerate(categorical)
+    ]
+    return (
+        filled.select("snapshot_id", F.explode(F.array(*cells)).alias("cell"))
+        .select("snapshot_id", "cell.*")
+        .where("value <> 0")
+    )
+
+
 @dataclass
 class Ranker:
     """A fitted pipeline with its fill values; scores are the positive-class probability."""
@@ -102,11 +141,21 @@ class Ranker:
     imputation: Imputation
 
     def score(self, df: DataFrame) -> DataFrame:
-        scored = self.pipeline.transform(self.imputation.apply(df))
+        filled = with_buckets(self.imputation.apply(df), list(self.imputation.modes))
+        scored = self.pipeline.transform(filled)
         value = vector_to_array(F.col("probability"))[1]
         return scored.withColumn(SCORE, value).select(*df.columns, SCORE)
 
 
+def without_summaries(fitted: PipelineModel) -> PipelineModel:
+    """Drop the training summaries: they hold the training frame and its session, which a scorer
+    would send along with its tasks."""
+    for stage in fitted.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return fitted
+
+
 def estimators(train_rows: int, seed: int) -> dict:
     """Two baselines. L2 strength matches an unpenalised-intercept C=1 fit on ``train_rows``."""
     common = {"labelCol": "label", "featuresCol": "features"}
@@ -149,23 +198,26 @@ def fit_baselines(
     """
     validate_predictor_names(features)
     if train.join(validation, "patient_id", "left_semi").limit(1).count():
-        raise ValueError("Baseline training and validation patients must be disjoint")
+        raise ValueError("A patient is in the training and in the validation rows")
     latest = latest_assessments(validation)
     for part in (train, latest):
         if part.agg(F.count_distinct("label")).first()[0] != 2:
-            raise ValueError("Both baseline partitions need positive and negative outcomes")
+            raise ValueError("Training and validation rows need both labels each")
     train = train.persist()
     try:
         imputation = Imputation.fit(train, features)
         numeric, categorical = feature_kinds(train, features)
-        filled = imputation.apply(train).withColumn("label", F.col("label").cast("double"))
+        filled = with_buckets(imputation.apply(train), categorical).withColumn(
+            "label", F.col("label").cast("double")
+        )
         candidates, metrics, used = {}, {}, {}
         for name, estimator in estimators(train.count(), seed).items():
             estimator.setParams(**(parameters or {}).get(name, {}))
             stages = _stages(
                 numeric, categorical, estimator, scale=name == "logistic_regression"
             )
-            candidates[name] = Ranker(name, Pipeline(stages=stages).fit(filled), imputation)
+            fitted = without_summaries(Pipeline(stages=stages).fit(filled))
+            candidates[name] = Ranker(name, fitted, imputation)
             scored = candidates[name].score(validation)
             metrics[name] = capture_metrics(scored, SCORE, fraction=fraction).first().asDict()
             used[name] = {p.name: str(v) for p, v in estimator.extractParamMap().items()}
@@ -199,6 +251,24 @@ def comparison(baselines: Baselines, parts: dict[str, DataFrame], fraction: floa
     return out
 
 
+def feature_schema(frame: DataFrame, features: tuple[str, ...]) -> tuple[str, ...]:
+    """``name:type`` of each predictor, in order; ``absent`` where the frame lacks it."""
+    types = dict(frame.dtypes)
+    return tuple(f"{f}:{types.get(f, 'absent')}" for f in features)
+
+
+def schema_changes(fitted: tuple[str, ...], offered: tuple[str, ...]) -> list[str]:
+    """How the offered predictors differ: lacking, added, of another type, or in another order."""
+    before, now = (dict(x.rsplit(":", 1) for x in side) for side in (fitted, offered))
+    out = [f"{f} is lacking" for f in before if now.get(f, "absent") == "absent"]
+    out += [f"{f} was added" for f in now if f not in before]
+    both = [f for f in before if now.get(f, "absent") != "absent"]
+    out += [f"{f} is {now[f]}, was {before[f]}" for f in both if now[f] != before[f]]
+    if not out and list(before) != list(now):
+        out.append("their order differs")
+    return out
+
+
 @dataclass
 class DeliveryModel:
     """A ranker bound to the rules and the label cutoff it was fitted under."""
@@ -208,17 +278,31 @@ class DeliveryModel:
     label_cutoff: date
     policy: str
     evidence: str = "experimental"
-
-    def predict(self, frame: DataFrame, study: Study, scoring_date: date) -> DataFrame:
+    schema: tuple[str, ...] = ()
+    kind: str = "unverified"
+
+    def predict(
+        self,
+        frame: DataFrame,
+        study: Study,
+        scoring_date: date,
+        *,
+        offered: tuple[str, ...] | None = None,
+        kind: str = "unverified",
+    ) -> DataFrame:
+        """Scores of ``frame``, if policy, feature names, their order and types, and the kind of
+        data are those of the fit. ``offered`` lists the predictors that the batch declares."""
         if study.policy_hash() != self.policy:
             raise ContractError(
                 "Feature, cohort or timing rules changed; refit a compatible model"
             )
-        missing = [f for f in self.features if f not in frame.columns]
-        if missing:
-            raise ContractError(f"Scoring feature schema changed; missing {missing}")
+        changed = schema_changes(self.schema, feature_schema(frame, offered or self.features))
+        if changed:
+            raise ContractError("Features are not those of the fit: " + "; ".join(changed))
+        if kind != self.kind:
+            raise ContractError(f"A model fitted on {self.kind} data may not score {kind} data")
         if scoring_date < self.label_cutoff:
-            raise ContractError("Model used labels unavailable at the requested scoring date")
+            raise ContractError("The labels of this model were not known yet at the scoring date")
         scored = self.ranker.score(frame)
         if frame.limit(1).count():
             checked = scored.withColumn("_label", F.lit(0))
@@ -237,11 +321,14 @@ class DeliveryModel:
                 self.label_cutoff,
                 self.policy,
                 self.evidence,
+                list(self.schema),
+                self.kind,
             )
         ]
         schema = (
             "name string, medians map<string,double>, modes map<string,string>, "
-            "features array<string>, label_cutoff date, policy string, evidence string"
+            "features array<string>, label_cutoff date, policy string, evidence string, "
+            "schema array<string>, kind string"
         )
         spark.createDataFrame(about, schema).write.mode("overwrite").parquet(f"{path}/about")
 
@@ -254,7 +341,8 @@ class DeliveryModel:
             Imputation(dict(row["medians"]), dict(row["modes"])),
         )
         return cls(
-            ranker, tuple(row["features"]), row["label_cutoff"], row["policy"], row["evidence"]
+            ranker, tuple(row["features"]), row["label_cutoff"], row["policy"], row["evidence"],
+            tuple(row["schema"]), row["kind"],
         )
 
 

@@ -7,7 +7,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.leakage import forbidden_names
 from ..operators.ordered import scan_in_order
+from ..operators.quality import union_all, unpivot
 from ..operators.stage import freeze
 from ..params import SplitRules
 
@@ -179,3 +181,84 @@ def check_split(split: DataFrame, *, temporal: bool = True) -> None:
         for earlier, later in (("train", "validation"), ("validation", "test")):
             if found[earlier]["ready"] >= found[later]["start"]:
                 raise AssertionError(f"Labels of {earlier} come after the first index date of {later}")
+
+
+def _shape(df: DataFrame, features: tuple[str, ...]) -> list[tuple[str, str]]:
+    types = dict(df.dtypes)
+    return [(f, types.get(f, "absent")) for f in features]
+
+
+def tabular_split_violations(
+    parts: dict[str, tuple[DataFrame, tuple[str, ...]]], label: str = "label"
+) -> DataFrame:
+    """Rules on tabular parts, as rows ``(table, rule, violations)``, one aggregate per part.
+
+    Each part comes with its list of predictors. The names, their order and types are those of
+    the first part, no predictor is named after an outcome, no part is empty, and every row
+    has a binary label.
+    """
+    spark = next(iter(parts.values()))[0].sparkSession
+    expected = _shape(*next(iter(parts.values())))
+    out = []
+    for name, (df, listed) in parts.items():
+        found = _shape(df, listed)
+        fixed = [
+            ("feature_names_or_order", int([f for f, _ in found] != [f for f, _ in expected])),
+            ("feature_types", len({x for x in found if x[0] in dict(expected)} - set(expected))),
+            ("forbidden_features", len(forbidden_names(list(listed)))),
+        ]
+        rows = [(name, rule, n) for rule, n in fixed]
+        out.append(spark.createDataFrame(rows, "table string, rule string, violations bigint"))
+        y = F.col(label)
+        row = df.agg(
+            F.when(F.count("*") == 0, 1).otherwise(0).alias("empty"),
+            F.count_if(y.isNull() | ~y.isin(0, 1)).alias("label_not_binary"),
+        )
+        out.append(unpivot(row, name, ["empty", "label_not_binary"]))
+    return union_all(out)
+
+
+def sequence_shapes(parts: dict[str, DataFrame], targets: dict[str, DataFrame]) -> DataFrame:
+    """(part, rows, least and most events and channels, rows without target, targets without row).
+
+    One aggregate per part over its ``values``; targets meet it by snapshot.
+    """
+    out = []
+    for name, df in parts.items():
+        known = targets[name].select("snapshot_id", F.lit(True).alias("_target"))
+        events = F.size("values")
+        channels = F.transform("values", F.size)
+        shapes = df.select("snapshot_id", events.alias("events"), F.array_min(channels).alias("low"),
+                           F.array_max(channels).alias("high"), F.lit(True).alias("_row"))
+        out.append(
+            shapes.join(known, "snapshot_id", "full").agg(
+                F.lit(name).alias("part"),
+                F.count("_row").alias("rows"),
+                F.min("events").alias("least_events"),
+                F.max("events").alias("most_events"),
+                F.min("low").alias("least_channels"),
+                F.max("high").alias("most_channels"),
+                F.count_if(F.col("_target").isNull()).alias("rows_without_target"),
+                F.count_if(F.col("_row").isNull()).alias("targets_without_row"),
+            )
+        )
+    return union_all(out)
+
+
+def sequence_split_violations(shapes: DataFrame) -> DataFrame:
+    """Rules on sequence parts: none is empty, all have one length and one number of channels,
+    and rows and targets are the same snapshots. ``shapes`` has one row per part."""
+    one = F.first(F.struct("most_events", "most_channels")).over(Window.orderBy("part"))
+    first = shapes.withColumn("_first", one)
+    differs = lambda low, high: ~(
+        F.col(low).eqNullSafe(F.col(f"_first.{high}")) & F.col(high).eqNullSafe(F.col(f"_first.{high}"))
+    )
+    rules = {
+        "empty": (F.col("rows") == 0).cast("int"),
+        "length_differs": differs("least_events", "most_events").cast("int"),
+        "channels_differ": differs("least_channels", "most_channels").cast("int"),
+        "rows_without_target": F.col("rows_without_target"),
+        "targets_without_row": F.col("targets_without_row"),
+    }
+    cells = [F.struct(F.lit(n).alias("rule"), c.cast("bigint").alias("violations")) for n, c in rules.items()]
+    return first.select(F.col("part").alias("table"), F.explode(F.array(*cells)).alias("v")).select("table", "v.*")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLES, ContractError
-from .directory import load_directory, read_frame
+from .directory import load_directory, read_frame, table_path
 
 MANIFEST = "export_manifest"
 MANIFEST_SCHEMA = (
@@ -20,21 +21,28 @@ MANIFEST_SCHEMA = (
 )
 
 
-def content_digest(df: DataFrame) -> DataFrame:
-    """One row: row count and a digest that does not depend on row order or partitioning.
+def row_digest(columns: list[str]) -> Column:
+    """The first 60 bits of the md5 of a row's values as text, columns by name, as a number.
 
-    A row counts as the first 60 bits of the md5 of its values as text, columns by name; each
-    value follows its length, and a null is a minus sign. The digest covers the sum of the rows.
+    Each value follows its length, and a null is a minus sign.
     """
-    columns = sorted(df.columns)
-    values = [F.col(f"`{c}`").cast("string") for c in columns]
+    values = [F.col(f"`{c}`").cast("string") for c in sorted(columns)]
     marked = [F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values]
-    row = F.conv(F.substring(F.md5(F.concat(*marked)), 1, 15), 16, 10)
+    return F.conv(F.substring(F.md5(F.concat(*marked)), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def digest_of(columns: list[str], rows: int, total: object) -> str:
+    """The digest of a table from its row count and the sum of its row digests."""
+    return hashlib.sha256(f"{','.join(sorted(columns))}|{rows}|{total}".encode()).hexdigest()
+
+
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row: row count and a digest that does not depend on row order or partitioning."""
     counted = df.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("sum"),
+        F.coalesce(F.sum(row_digest(df.columns)), F.lit(0)).cast("string").alias("sum"),
     )
-    text = F.concat_ws("|", F.lit(",".join(columns)), F.col("rows"), F.col("sum"))
+    text = F.concat_ws("|", F.lit(",".join(sorted(df.columns))), F.col("rows"), F.col("sum"))
     return counted.select("rows", F.sha2(text, 256).alias("content_digest"))
 
 
@@ -47,13 +55,32 @@ def select_only(query: str) -> str:
         raise ContractError("An export statement has to begin with SELECT or WITH")
     if ";" in bare:
         raise ContractError("An export takes a single statement")
-    if re.search(r"\b(insert|update|delete|merge|drop|alter|create|truncate|grant)\b", bare, re.I):
+    if re.match(r"with\b", bare, re.I) and not re.match(r"(select|values|table|from)\b", _after_with(bare), re.I):
         raise ContractError("An export statement may only read")
     if re.search(r"<[A-Za-z_]+>|\{\{|\$\{", bare):
         raise ContractError("An export statement still holds placeholders")
     return text
 
 
+def _after_with(text: str) -> str:
+    """The statement behind the common table expressions: what follows the last closing bracket
+    of the list that starts a WITH."""
+    depth, quoted, rest = 0, "", text
+    for k, c in enumerate(text):
+        if quoted:
+            quoted = "" if c == quoted else quoted
+        elif c in "'\"`":
+            quoted = c
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            rest = text[k + 1 :].lstrip()
+            if depth == 0 and not re.match(r"(,|as\b)", rest, re.I):
+                return rest
+    return rest
+
+
 def _without_comment(match: re.Match) -> str:
     return match[0] if match[0].startswith("'") else " "
 
@@ -184,6 +211,94 @@ def verify_manifest(
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file below ``path``, computed by the executors."""
+    """SHA-256 per file below ``path``, computed by the executors; a file is one row there."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+FILES = "file_manifest"
+FILE_FIELDS = "table string, file string, rows bigint, digest string"
+
+
+def digests_by_file(df: DataFrame, name: str) -> DataFrame:
+    """(table, file, rows, digest) of the files that ``df`` reads, from one pass over them.
+
+    A file's digest is that of ``content_digest`` over its rows. Partial digests are combined
+    map-side, so large files are read by many tasks and none is held as a whole.
+    """
+    columns = sorted(df.columns)
+    file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
+    rows = df.select("*", file.alias("_file")).groupBy("_file").agg(
+        F.count("*").alias("rows"), F.sum(row_digest(columns)).cast("string").alias("sum")
+    )
+    text = F.concat_ws("|", F.lit(",".join(columns)), F.col("rows"), F.col("sum"))
+    return rows.select(
+        F.lit(name).alias("table"), F.col("_file").alias("file"), "rows", F.sha2(text, 256).alias("digest")
+    )
+
+
+def directory_digests(
+    spark: SparkSession, directory: str, names: Iterable[str], file_format: str
+) -> DataFrame:
+    parts = [
+        digests_by_file(read_frame(spark, table_path(directory, n, None, file_format), file_format), n)
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_file_manifest(
+    spark: SparkSession, directory: str, names: Iterable[str] = tuple(TABLES), file_format: str = "parquet"
+) -> None:
+    """Record rows and digest of every file of the tables, beside them."""
+    found = directory_digests(spark, directory, names, file_format)
+    found.coalesce(1).write.mode("overwrite").json(f"{directory}/{FILES}")  # one row per file
+
+
+def file_differences(
+    spark: SparkSession, directory: str, names: Iterable[str] = tuple(TABLES), file_format: str = "parquet"
+) -> DataFrame:
+    """(table, file, state, rows, rows_now): files that went, came or changed since the record."""
+    recorded = spark.read.schema(FILE_FIELDS).json(f"{directory}/{FILES}")
+    now = directory_digests(spark, directory, names, file_format).withColumnsRenamed(
+        {"rows": "rows_now", "digest": "digest_now"}
+    )
+    state = (
+        F.when(F.col("digest_now").isNull(), "missing")
+        .when(F.col("digest").isNull(), "added")
+        .when(F.col("digest") != F.col("digest_now"), "changed")
+    )
+    return (
+        recorded.join(now, ["table", "file"], "full")
+        .withColumn("state", state)
+        .where("state is not null")
+        .select("table", "file", "state", "rows", "rows_now")
+    )
+
+
+def has_file_manifest(spark: SparkSession, directory: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{FILES}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def load_verified(
+    spark: SparkSession,
+    directory: str,
+    *,
+    file_format: str = "parquet",
+    required: bool = False,
+    **options,
+) -> dict[str, DataFrame]:
+    """``load_directory`` after its files were held against the record, where there is one.
+
+    ``required`` makes a directory without a record an error.
+    """
+    if has_file_manifest(spark, directory):
+        changed = file_differences(spark, directory, TABLES, file_format)
+        states = changed.groupBy("table", "state").count().collect()  # three states a table
+        if states:
+            text = sorted(f"{r['table']}: {r['count']} {r['state']}" for r in states)
+            raise ContractError("Files differ from their manifest; " + "; ".join(text))
+    elif required:
+        raise ContractError("The directory has no file manifest")
+    return load_directory(spark, directory, file_format=file_format, **options)

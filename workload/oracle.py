@@ -400,7 +400,7 @@ vocab AS (
   FROM tok GROUP BY history_token)"""
 
 
-def history_sql(codes: int = 6, windows=(14, 30, 90, 365)) -> str:
+def history_sql(codes: int = 24, windows=(14, 30, 90, 365)) -> str:
     columns = []
     for i in range(codes):
         for w in windows:
@@ -919,6 +919,30 @@ FROM {cte}""")
     return with_tables("\nUNION ALL".join(parts))
 
 
+def audit_sql() -> str:
+    """The profile without distinct counts, states by name, and the content digest."""
+    profile = profile_sql().replace(" UNION ALL ", "\nUNION ALL\n")
+    head, _, body = profile.partition("\nSELECT ")
+    parts = [p for p in ("SELECT " + body).split("\nUNION ALL\n") if "'distinct' AS" not in p]
+    parts = [p for p in parts if "'status', status" not in p]
+    dated = {"pharmacy_claims": ("rx", ("reversal_date",))}
+    for table, source in (("medical_claims", "med"), ("pharmacy_claims", "rx")):
+        for status in ("paid", "final", "rejected", "reversed"):
+            parts.append(
+                f"SELECT '{table}', 'status', '{status}', CAST(count(*) FILTER (status = '{status}') "
+                f"AS VARCHAR) FROM {source}"
+            )
+        parts.append(f"SELECT '{table}', 'status', 'other', '0' FROM {source} LIMIT 1")
+    for table, (source, dates) in dated.items():
+        for c in dates:
+            parts += [f"SELECT '{table}', '{f}', '{c}', CAST({f}({c}) AS VARCHAR) FROM {source}" for f in ("min", "max")]
+    digests = digest_sql().partition("\nSELECT count(*) AS rows")
+    parts.append(
+        "SELECT \"table\", 'digest', '', content_digest FROM (SELECT count(*) AS rows" + digests[2] + ")"
+    )
+    return head + "\n" + "\nUNION ALL\n".join(f"({p})" for p in parts)
+
+
 ORACLE: dict[str, str] = {
     "profile_tables": profile_sql(),
     "medical_grain": with_tables("""
@@ -1005,6 +1029,18 @@ SELECT snapshot_id, patient_id, 'generated' AS cohort_id, start_dt, index_date,
 SELECT snapshot_id, patient_id, t AS index_date, reason FROM facts WHERE reason IS NOT NULL"""),
     "exclusion_counts": on_cohort("""
 SELECT reason, count(*) AS snapshots FROM facts WHERE reason IS NOT NULL GROUP BY reason"""),
+    "cohort_written": on_cohort("""
+SELECT snapshot_id, patient_id, t AS index_date, coalesce(reason, 'eligible') AS reason FROM facts"""),
+    "audit_cohort": on_cohort("""
+SELECT 'cohort' AS "table", 'rows' AS measure, '' AS "column", CAST(count(*) AS VARCHAR) AS value
+FROM facts
+UNION ALL
+SELECT 'cohort', 'outcome', name, CAST(count(snapshot_id) AS VARCHAR)
+FROM (SELECT unnest(['eligible', 'future_index', 'immature_label',
+  'insufficient_observation_or_enrollment', 'diagnosis_not_confirmed', 'no_conventional_exposure',
+  'insufficient_conventional_coverage', 'no_conventional_coverage_on_index', 'conventional_gap',
+  'known_prior_advanced']) AS name)
+LEFT JOIN facts ON name = coalesce(reason, 'eligible') GROUP BY name"""),
     "scoring_cohort": on_live("""
 SELECT snapshot_id, patient_id, 'generated' AS cohort_id, start_dt, index_date, feature_cutoff,
   lookback_start, prediction_end, TRUE AS eligible, covered_days, maximum_gap_days FROM snap"""),
@@ -1103,15 +1139,16 @@ FROM (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives,
         "cuts AS (SELECT CAST(0.5 AS DOUBLE) AS threshold)", threshold_values()),
     "ranking_metrics": on_cohort(
         top_metrics((0.01, 0.05, 0.10, 0.20, 0.30)), LATEST, RANKED),
-    "evaluate_predictions": on_cohort(f"""
-SELECT {CLASS_COLUMNS}, a.recall AS recall_at_10pct, a.precision AS precision_at_10pct,
-  a.lift AS lift_at_10pct, CAST(a.selected_positives AS DOUBLE) AS truepositives_at_10pct,
-  b.recall AS recall_at_30pct, b.precision AS precision_at_30pct, b.lift AS lift_at_30pct,
-  CAST(b.selected_positives AS DOUBLE) AS truepositives_at_30pct
-FROM (SELECT * FROM curve) curve, tops a, tops b WHERE a.at = '10%' AND b.at = '30%'""".replace(
-            CURVE_COLUMNS, CURVE_COLUMNS.replace("round(", "round(curve.")),
+    "evaluate_predictions": on_cohort(
+        f"SELECT {CLASS_COLUMNS.replace(CURVE_COLUMNS, CURVE_COLUMNS.replace('round(', 'round(curve.'))}, " + ", ".join(
+            f"{a}.recall AS recall_at_{p}pct, {a}.precision AS precision_at_{p}pct, "
+            f"{a}.lift AS lift_at_{p}pct, CAST({a}.selected_positives AS DOUBLE) AS truepositives_at_{p}pct"
+            for a, p in zip("abcde", (1, 5, 10, 20, 30), strict=True)
+        )
+        + " FROM (SELECT * FROM curve) curve, tops a, tops b, tops c, tops d, tops e "
+        "WHERE a.at = '1%' AND b.at = '5%' AND c.at = '10%' AND d.at = '20%' AND e.at = '30%'",
         LATEST, RANKED, "cuts AS (SELECT CAST(0.5 AS DOUBLE) AS threshold)",
-        threshold_values(), f"tops AS ({top_metrics((0.1, 0.3))})"),
+        threshold_values(), f"tops AS ({top_metrics((0.01, 0.05, 0.1, 0.2, 0.3))})"),
     "prediction_problems": on_cohort("""
 SELECT count(*) AS rows, CAST(0 AS BIGINT) AS bad_label, CAST(0 AS BIGINT) AS bad_score,
   count(*) FILTER (score * 2 - 0.5 NOT BETWEEN 0 AND 1) AS outside_unit FROM snap"""),
@@ -1159,7 +1196,7 @@ SELECT count(*) AS eligible_patients, count(*) FILTER (selected) AS priority_pat
     SELECT hcp_id FROM per WHERE priority_patient_count < 2)) AS withheld_priority_patients
 FROM list""", *FIELD),
     "target_view": on_live("""
-SELECT hcp_id, hcp_rank, eligible_patient_count, organization FROM target
+SELECT * FROM target
 WHERE specialty = 'EUROPE' AND lower(hcp_id || ' ' || organization) LIKE '%supplier%'
 ORDER BY eligible_patient_count DESC, hcp_rank LIMIT 12""", *FIELD),
     "diagnosis_explode": f"""
@@ -1202,7 +1239,100 @@ SELECT 'covered_days' AS name, CAST(quantile_cont(covered_days, 0.5) AS DOUBLE)
 UNION ALL
 SELECT 'maximum_gap_days', CAST(quantile_cont(maximum_gap_days, 0.5) AS DOUBLE) FROM snap"""),
 }
+def _split_sql() -> str:
+    rows = [
+        ("train", 0, 0, 0, "0", "0"),
+        ("validation", 0, 1, 0, "0", "0"),
+        ("test", 1, 0, 1, "0", "(SELECT count(*) FROM parts WHERE split = 'test' AND label = 1)"),
+        ("later", 0, 0, 0, "1", "0"),
+    ]
+    names = ("feature_names_or_order", "feature_types", "forbidden_features", "empty", "label_not_binary")
+    lines = [
+        f"SELECT '{name}' AS \"table\", '{rule}' AS rule, CAST({n} AS BIGINT) AS violations"
+        for name, *values in rows
+        for rule, n in zip(names, values, strict=True)
+    ]
+    return "\nUNION ALL\n".join(lines)
+
+
+def matrix_sql() -> str:
+    """All predictors unpivoted, after the two gaps were filled by median and mode."""
+    wide = ORACLE["features_wide"]
+    head, _, body = wide.rpartition("\nSELECT s.snapshot_id, s.index_date AS feature_as_of")
+    texts = ("gender", "current_therapy", "geography", "payer_type")
+    numbers = [
+        "age", "proportion_days_covered", "maximum_therapy_gap_days", "therapy_changes",
+        "therapies_tried", "therapy_duration_days",
+        *[f"{c}_{w}d" for w in WINDOWS for c in (
+            "diagnosis_count", "procedure_count", "pharmacy_count", "specialist_visits",
+            "emergency_visits", "urgent_visits", "rejected_rx", "reversed_rx", "patient_cost")],
+        "days_since_last_diagnosis", "days_since_last_specialist", "days_since_last_rx",
+        "days_since_last_treatment_change", "diagnosis_acceleration", "diagnosis_recent_prior_ratio",
+        "specialist_acceleration", "specialist_recent_prior_ratio", "recent_coverage_90d",
+        "previous_coverage_90d", "coverage_change", "symptom_count", "comorbidity_count",
+        "hcp_historical_advanced_patients", "hcp_historical_patients",
+    ]
+    cells = [f"SELECT snapshot_id, {k} AS position, CAST({c} AS DOUBLE) AS value FROM filled" for k, c in enumerate(numbers)]
+    cells += [
+        f"SELECT snapshot_id, {len(numbers) + 128 * k} + CAST(CAST('0x' || substr(md5('{c}=' || {c}), 1, 8) AS BIGINT) "
+        f"% 128 AS INTEGER), 1.0 FROM filled"
+        for k, c in enumerate(texts)
+    ]
+    return head + f""",
+wide AS (SELECT s.snapshot_id, s.index_date AS feature_as_of{body}),
+gaps AS (
+  SELECT * REPLACE (nullif(age, 40) AS age, CASE WHEN therapies_tried > 1 THEN gender END AS gender)
+  FROM wide),
+filled AS MATERIALIZED (
+  SELECT * REPLACE (coalesce(age, (SELECT quantile_cont(age, 0.5) FROM gaps)) AS age,
+    coalesce(gender, (SELECT gender FROM gaps WHERE gender IS NOT NULL GROUP BY gender
+                      ORDER BY count(*) DESC, gender LIMIT 1)) AS gender) FROM gaps)
+SELECT snapshot_id, position, round(value, 4) AS value
+FROM (""" + "\nUNION ALL ".join(cells) + ") WHERE value <> 0"
+
+
 ORACLE |= {
+    "audit_tables": audit_sql(),
+    "model_matrix": matrix_sql(),
+    "manifest_changes": with_tables("""
+SELECT 'providers' AS "table", 'added' AS state, CAST(count(*) AS BIGINT) AS rows
+FROM providers WHERE geography = 'FRANCE' HAVING count(*) > 0
+UNION ALL
+SELECT 'plans', state, count(*) FROM plans, (SELECT unnest(['added', 'missing']) AS state)
+GROUP BY state"""),
+    "event_date_violations": with_tables("""
+SELECT 'events' AS "table", 'event_undated' AS rule, count(*) AS violations FROM med
+WHERE claim_date IS NULL OR CAST(patient_id AS BIGINT) % 5 = 0
+UNION ALL
+SELECT 'events', 'event_after_index', count(*) FROM med
+WHERE claim_date > DATE '1999-07-01' AND CAST(patient_id AS BIGINT) % 5 > 0
+UNION ALL
+SELECT 'events', 'patient_id_ambiguous', count(*) FROM patients
+WHERE CAST(patient_id AS BIGINT) % 5 > 0 AND CAST(patient_id AS BIGINT) % 7 = 0"""),
+    "feature_violations": on_cohort("""
+SELECT 'wide' AS "table", 'label_forbidden' AS rule, CAST(1 AS BIGINT) AS violations
+UNION ALL
+SELECT 'wide', 'covered_infinite', CAST(sum(1 + label) AS BIGINT) FROM snap WHERE maximum_gap_days > 100
+UNION ALL
+SELECT 'wide', 'label_infinite', 0
+UNION ALL
+SELECT 'wide', 'snapshot_id_repeated', count(*) FROM snap WHERE label = 1"""),
+    "sequence_split_violations": on_cohort("""
+SELECT "table", rule, CAST(CASE
+    WHEN "table" = 'test' AND rule = 'rows_without_target' THEN even_ones
+    WHEN "table" = 'validation' AND rule = 'targets_without_row' THEN odd_ones
+    WHEN "table" = 'validation' AND rule IN ('length_differs', 'channels_differ') THEN 1
+    WHEN "table" = 'train' AND rule = 'channels_differ' THEN 1 ELSE 0 END AS BIGINT) AS violations
+FROM (SELECT count(*) FILTER (month(index_date) % 10 % 2 = 0 AND label = 1) AS even_ones,
+             count(*) FILTER (month(index_date) % 10 % 2 = 1 AND label = 1) AS odd_ones FROM snap),
+     (SELECT unnest(['train', 'validation', 'test']) AS "table"),
+     (SELECT unnest(['empty', 'length_differs', 'channels_differ', 'rows_without_target',
+                     'targets_without_row']) AS rule)"""),
+    "tabular_split_violations": on_cohort(_split_sql(), SPLIT, "parts AS (SELECT * FROM split)"),
+    "field_file": on_live("""
+SELECT 'field' AS "table", rule, CAST(CASE rule WHEN 'rows' THEN n ELSE 0 END AS BIGINT) AS violations
+FROM (SELECT count(*) AS n FROM target),
+     (SELECT unnest(['row_out_of_order', 'file_overlaps', 'rank_repeated', 'rows']) AS rule)""", *FIELD),
     "content_digest": digest_sql(),
     "cohort_hot": ORACLE["cohort_labels"],
     "features_counts_hot": ORACLE["features_counts"],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -15,7 +16,7 @@ from tidemark.operators.attribution import attribute_patients, rule_attribution
 from tidemark.operators.opportunity import opportunity_metrics, score_opportunities
 from tidemark.operators.ordered import exact_quantiles
 from tidemark.operators.skew import hot_keys
-from tidemark.operators.stage import freeze
+from tidemark.operators.stage import checkpoint_dir, freeze
 from tidemark.params import AttributionRules, OpportunityRules, OpportunityScore, TargetRules
 from tidemark.plans import cohort as cohorts
 from tidemark.plans import delivery, features, models, splits, targets
@@ -29,8 +30,10 @@ from tidemark.plans.sequences import (
     sequence_tail,
     sequence_violations,
 )
-from tidemark.sources.export import content_digest
+from tidemark.sources.audit import Audit
+from tidemark.sources.export import content_digest, file_differences, write_file_manifest
 from tidemark.sources.projections import explode_diagnoses, in_scope, patient_scope
+from tidemark.sources.sinks import order_violations, write_field_csv
 
 from .tables import PRIORITIES, SCORING_DATE, STUDY, canonical, source
 
@@ -56,6 +59,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double"})
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
 def eligible(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Canonical tables and the frozen eligible snapshots."""
     tables = canonical(spark, sf_dir)
@@ -165,6 +173,42 @@ def _(spark, sf):
     return quality.union_all(parts)
 
 
+@query("audit_tables")
+def _(spark, sf):
+    """Profile and digest of the canonical tables, observed while they are written."""
+    audit = Audit(spark, scratch(spark))
+    for name, df in canonical(spark, sf).items():
+        audit.write(df, name)
+    return audit.frame()
+
+
+@query("audit_cohort")
+def _(spark, sf):
+    """Candidates by outcome, observed while the cohort is written."""
+    audit = Audit(spark, scratch(spark))
+    cohorts.write_cohort(canonical(spark, sf), STUDY, audit)
+    return audit.frame()
+
+
+@query("manifest_changes")
+def _(spark, sf):
+    """Rows by table and state of file, after one file was added, one table rewritten and one
+    left alone since the manifest."""
+    folder, t = scratch(spark), canonical(spark, sf)
+    names = ("providers", "plans", "enrollment")
+    for name in names:
+        t[name].write.parquet(f"{folder}/{name}.parquet")
+    write_file_manifest(spark, folder, names)
+    one = t["providers"].where(F.col("geography") == "FRANCE")
+    one.coalesce(1).write.mode("append").parquet(f"{folder}/providers.parquet")
+    t["plans"].withColumn("plan_id", F.lower("plan_id")).write.mode("overwrite").parquet(
+        f"{folder}/plans.parquet"
+    )
+    return file_differences(spark, folder, names).groupBy("table", "state").agg(
+        F.sum(F.coalesce("rows_now", "rows")).alias("rows")
+    )
+
+
 @query("csv_safe")
 def _(spark, sf):
     """Product names behind every leading sign, as a field file would show them."""
@@ -268,6 +312,17 @@ def _(spark, sf):
     return delivery.scoring_cohort(canonical(spark, sf), STUDY, SCORING_DATE).snapshots
 
 
+@query("cohort_written")
+def _(spark, sf):
+    """Both outputs of one written derivation: every candidate with its outcome."""
+    audit = Audit(spark, scratch(spark))
+    made = cohorts.write_cohort(canonical(spark, sf), STUDY, audit)
+    kept = made.snapshots.select(
+        "snapshot_id", "patient_id", "index_date", F.lit(cohorts.KEPT).alias("reason")
+    )
+    return kept.unionByName(made.exclusions)
+
+
 @query("timeline_differences")
 def _(spark, sf):
     """Supplied snapshots with every outcome a day late, against a fresh derivation."""
@@ -354,7 +409,7 @@ def _(spark, sf):
 @query("history_features")
 def _(spark, sf):
     _, s, e = with_events(spark, sf)
-    encoder = HistoryEncoder(max_codes=6).fit(e, s, check=False)
+    encoder = HistoryEncoder().fit(e, s, check=False)
     return rounded(encoder.transform(e, s, check=False))
 
 
@@ -453,6 +508,40 @@ def _(spark, sf):
     return splits.split_counts(splits.temporal_split(s, STUDY.split))
 
 
+@query("tabular_split_violations")
+def _(spark, sf):
+    """Parts of which one has another type, one another order and rows without a label."""
+    _, s = eligible(spark, sf)
+    split = splits.temporal_split(s, STUDY.split).withColumnsRenamed(
+        {"covered_days": "cover", "maximum_gap_days": "gap"}
+    )
+    part = lambda n: split.where(F.col("split") == n)
+    names = ("cover", "gap")
+    return splits.tabular_split_violations(
+        {
+            "train": (part("train"), names),
+            "validation": (part("validation").withColumn("cover", F.col("cover") / 2), names),
+            "test": (part("test").withColumn("label", F.nullif("label", F.lit(1))), (*names[::-1], "outcome_date")),
+            "later": (part("train").where("1 = 0"), names),
+        }
+    )
+
+
+@query("sequence_split_violations")
+def _(spark, sf):
+    """Sequence parts of which one is shorter and lacks the rows of some targets."""
+    out, _ = encoded(spark, sf)
+    values = sequence_split(out).select("snapshot_id", "values", "label")
+    even = F.substring("snapshot_id", -3, 1).cast("int") % 2 == 0  # the month
+    parts = {
+        "train": values.where(even),
+        "validation": values.where(~even & (F.col("label") == 0)).withColumn("values", F.slice("values", 1, 5)),
+        "test": values.where(even).withColumn("values", F.transform("values", lambda v: F.slice(v, 1, 4))),
+    }
+    targets = {"train": parts["train"], "validation": values.where(~even), "test": values.where(even & (F.col("label") == 0))}
+    return splits.sequence_split_violations(freeze(splits.sequence_shapes(parts, targets)))
+
+
 @query("stratified_split")
 def _(spark, sf):
     _, s = eligible(spark, sf)
@@ -499,7 +588,7 @@ def _(spark, sf):
 @query("evaluate_predictions")
 def _(spark, sf):
     _, s = eligible(spark, sf)
-    wide = metrics.evaluate_predictions(latest_scored(s), "label", SCORE, fractions=(0.1, 0.3))
+    wide = metrics.evaluate_predictions(latest_scored(s), "label", SCORE)
     names = {c: c.lower().replace("@", "_at_").replace("%", "pct") for c in wide.columns}
     return rounded(wide.withColumnsRenamed(names))
 
@@ -684,7 +773,19 @@ def _(spark, sf):
         table, search="SUPPLIER", specialty="EUROPE", sort="eligible_patient_count",
         ascending=False, top=12,
     )
-    return view.select("hcp_id", "hcp_rank", "eligible_patient_count", "organization")
+    return view
+
+
+@query("field_file")
+def _(spark, sf):
+    """The field file written in rank order: rules on what stands there, and its rows."""
+    t, attributed = live_list(spark, sf)
+    table = targets.field_targets(attributed, t["providers"], STUDY.targets, SCORING_DATE)
+    folder = scratch(spark)
+    write_field_csv(table, folder, order=[("hcp_rank", True)])
+    found = order_violations(spark, folder, "hcp_rank")
+    rows = spark.read.option("header", True).csv(folder)
+    return found.unionByName(quality.grouped(rows, "field", "rows"))
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -737,11 +838,35 @@ def _(spark, sf):
 def _(spark, sf):
     t = canonical(spark, sf)
     at = t["patients"].select("patient_id", F.lit(PROBE).alias("index_date"))
-    return quality.post_index_events(t["medical_claims"], at, "claim_date").select(
+    return quality.late_events(t["medical_claims"], at, "claim_date", key="patient_id").select(
         "claim_id", "patient_id", "claim_date", "index_date"
     )
 
 
+@query("event_date_violations")
+def _(spark, sf):
+    """Claims against probe dates that some patients lack and some have twice."""
+    t = canonical(spark, sf)
+    number = F.col("patient_id").cast("bigint")
+    at = t["patients"].select("patient_id", F.lit(PROBE).alias("index_date")).where(number % 5 > 0)
+    twice = at.unionByName(at.where(number % 7 == 0))
+    return quality.event_date_violations(t["medical_claims"], twice, "claim_date", key="patient_id")
+
+
+@query("feature_violations")
+def _(spark, sf):
+    """A feature table with an outcome among the predictors, infinite ratios and repeated rows."""
+    _, s = eligible(spark, sf)
+    wide = s.select(
+        "snapshot_id",
+        F.col("index_date").alias("feature_as_of"),
+        F.when(F.col("maximum_gap_days") > 100, float("inf")).otherwise(F.col("covered_days") / 180.0)
+        .alias("covered"),
+        F.col("label").alias("label"),
+    )
+    return quality.feature_violations(wide.unionByName(wide.where("label = 1")))
+
+
 @query("event_timing")
 def _(spark, sf):
     """Prepared-bundle rules with planted defects: late cutoffs and outcomes before index."""
@@ -781,6 +906,22 @@ def _(spark, sf):
     return exact_quantiles(s, ["covered_days", "maximum_gap_days"], 0.5)
 
 
+@query("model_matrix")
+def _(spark, sf):
+    """The sparse matrix over all predictors, with gaps in two of them filled."""
+    t, s = eligible(spark, sf)
+    names = features.feature_names(STUDY)
+    wide = features.build_features(t, s, STUDY).withColumns(
+        {
+            "age": F.nullif("age", F.lit(40)),
+            "gender": F.when(F.col("therapies_tried") > 1, F.col("gender")),
+        }
+    )
+    wide = freeze(wide)
+    fill = models.Imputation.fit(wide, names)
+    return rounded(models.model_matrix(wide, names, fill), 4)
+
+
 MODEL_FEATURES = [
     "age", "gender", "proportion_days_covered", "maximum_therapy_gap_days", "therapy_changes",
     "therapies_tried", "diagnosis_count_180d", "pharmacy_count_365d", "patient_cost_365d",
