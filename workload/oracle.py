@@ -696,7 +696,9 @@ SELECT targeting_period, hcp_id, count(*) AS eligible_patient_count,
   count(*) FILTER (rank <= greatest(1, ceil(n * CAST(0.2 AS DOUBLE)))) AS patients_top_20pct,
   round(avg(score), 10) AS mean_patient_propensity,
   round(max(score), 10) AS max_patient_propensity,
-  round(sum(score), 10) AS expected_switchers, round(sum(score), 10) AS hcp_opportunity_score
+  round(sum(score), 10) AS expected_switchers, round(sum(score), 10) AS hcp_opportunity_score,
+  round(sum(score), 10) AS score_component__expected_switchers,
+  '1*none(expected_switchers)' AS opportunity_score_formula
 FROM placed JOIN winner USING (snapshot_id) GROUP BY ALL""",
         f"""
 period AS (
