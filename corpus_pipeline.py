@@ -17,7 +17,11 @@ from tidemark.operators.stage import checkpoint_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the limit."""
+    """Documents whose toxicity score stays under the limit.
+
+    Null and empty texts have the score of the bias alone; equal texts go or stay together; an
+    empty table stays empty, and without labels nothing goes.
+    """
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,18 +34,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage; contaminated ones go."""
+    """Documents without any benchmark passage; contaminated ones go.
+
+    Null and empty texts hold none and stay, and so does every document where the benchmark is
+    empty; repeated rows are judged alike.
+    """
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Poisson copies at tempered source weights, in globally shuffled order."""
+    """Poisson copies at tempered source weights, in globally shuffled order.
+
+    Null sources are one source; null ids are drawn alike, as are equal ids of a source; null
+    texts are copied like any other; an empty table stays empty.
+    """
     own, restore = set_aside(docs, ADDED)
     return restore(replicated(own))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mixture with their shard and slot."""
+    """The rows of the mixture with their shard and slot.
+
+    Every row gets one place, null ids, null texts and repeated rows included; null sources are
+    one source. An empty table stays empty.
+    """
     return sharded(docs)
 
 
