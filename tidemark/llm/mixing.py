@@ -76,7 +76,7 @@ def replicated(
 
     A document's count inverts the Poisson distribution with its source's mean rate at a
     seeded digest of its id, so it may be zero, and equal ids of a source have equal counts.
-    Each copy is a row; rows are range-partitioned and sorted by a digest of id and copy, which
+    Each copy is a row; rows are hash-partitioned and sorted by a digest of id and copy, which
     is the global shuffle (column ``shuffle_key``). Null sources are one source, null ids read
     as empty, an empty table gives an empty result; columns that bear one of the four names are
     replaced. Only the table of sources is joined: broadcast where its count allows, so the

@@ -219,7 +219,9 @@ def base_failed() -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE) -> list[list[Condition]]:
     """Learn from at most ``limit`` labelled documents outside the held-out fold that pass the base.
 
-    Only their statistics, a few numbers a document, reach the driver.
+    Only their statistics, a few numbers a document, reach the driver. Null texts have no words
+    and so fail the base; rows are ordered by a digest of the id, then by their values, so ties
+    and repeated rows do not depend on partitions. Without labelled rows no rule is learned.
     """
     sample = labelled(labels, "quality", limit=limit, divisor=3, held_out=1)
     rows = (
@@ -236,7 +238,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, limit: int = SAMPLE) -> lis
 
 
 def rules_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: the counts, the base verdict and the learned one."""
+    """One row per document: the counts, the base verdict and the learned one.
+
+    Repeated rows and null ids stay rows of their own; a null text counts zero words and fails
+    the base; an empty table gives an empty result.
+    """
     rules = fit_rules(docs, labels)
     return text_statistics(docs, keep=["doc_id"]).select(
         "doc_id",

@@ -211,6 +211,11 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose score reaches the limit, columns unchanged."""
+    """``docs`` without the documents whose score reaches the limit, columns unchanged.
+
+    A score at the limit goes. Null, empty and wordless texts have the score of the bias; equal
+    texts have equal scores, so repeated rows stay or go together; null ids are scored like any
+    other. An empty table gives an empty result; without labels every document stays.
+    """
     scored = toxicity_scores(docs, fit_toxicity(docs, labels), name="_toxicity")
     return scored.where(F.col("_toxicity") < REJECT_AT).select(*docs.columns)
