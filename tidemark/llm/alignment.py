@@ -25,10 +25,9 @@ from tidemark.operators.stage import checkpoint_dir, freeze
 from .blocks import blocks, with_text_columns
 
 TOKENIZERS = "/opt/tokenizers"
-#: Distinct windows and their links held by a task before it starts over, and the most tokens
-#: of a window that is looked up instead of aligned in place.
-MEMO_WINDOWS = 200_000
-MEMO_LINKS = 2_000_000
+#: Distinct windows in a generation of a task's memo, and the most tokens of a window that is
+#: looked up instead of aligned in place.
+MEMO_WINDOWS = 100_000
 MEMO_TOKENS = 64
 #: Id pairs that are broadcast with their counts (16 bytes each); rarer ones are joined by shuffle.
 COMMON_PAIRS = 500_000
@@ -147,35 +146,31 @@ def window_alignment(
 
 
 class Memo:
-    """Window alignments by id tuples; the pairs of all windows lie in one growing array."""
+    """Window alignments by id tuples, in two generations.
+
+    A full generation becomes the old one, and what is looked up there moves on; so windows
+    that recur stay, and rare ones go.
+    """
 
     def __init__(self, tokenizers: Tokenizers) -> None:
         self.a_size, self.b_size = tokenizers.a_size.tolist(), tokenizers.b_size.tolist()
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[tuple, int] = {}
-        self.groups: list[str] = []
-        self.start, self.pairs = array("q", [0]), array("q")
+        self.young: dict[tuple, tuple[str, bytes]] = {}
+        self.old: dict[tuple, tuple[str, bytes]] = {}
 
     def trim(self) -> None:
-        """Start over beyond the bounds, between blocks."""
-        if len(self.groups) > MEMO_WINDOWS or len(self.pairs) > MEMO_LINKS:
-            self.clear()
-
-    def add(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
-        groups, pairs = window_alignment(a, b, self.a_size, self.b_size)
-        number = len(self.groups)
-        self.groups.append(groups)
-        self.pairs.extend(pairs)
-        self.start.append(len(self.pairs))
-        if len(a) + len(b) <= MEMO_TOKENS:
-            self.known[a, b] = number
-        return number
+        if len(self.young) > MEMO_WINDOWS:
+            self.old, self.young = self.young, {}
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and pairs, copied so that both can grow on."""
-        return np.array(self.start), np.array(self.pairs)
+    def find(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, bytes]:
+        """(groups, pairs as 64-bit numbers) of a window that the young generation lacks."""
+        known = self.old.get(key)
+        if known is None:
+            groups, pairs = window_alignment(*key, self.a_size, self.b_size)
+            known = groups, array("q", pairs).tobytes()
+            if len(key[0]) + len(key[1]) > MEMO_TOKENS:
+                return known
+        self.young[key] = known
+        return known
 
 
 def windows_of(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray, int]:
@@ -203,8 +198,7 @@ def _documents(files: Files, groups: bool):
         keys, times, sizes = [], [], np.zeros(n, np.int64)
         for first, rows, buf, offs in blocks(texts):
             memo.trim()
-            place, number = [], []
-            known = memo.known
+            young, find = memo.young, memo.find
             for r in range(rows):
                 raw = buf[offs[r] : offs[r + 1]].tobytes()
                 tokens = t.encode(raw.decode()) if raw else None
@@ -216,35 +210,21 @@ def _documents(files: Files, groups: bool):
                 found, i, j = [], 0, 0
                 for p, q in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
                     key = (a[i:p], b[j:q])
-                    number_of = known.get(key)
-                    found.append(memo.add(*key) if number_of is None else number_of)
+                    found.append(young.get(key) or find(key))
                     i, j = p, q
-                counts[:3, first + r] = len(a), len(b), n_groups
-                whole[first + r] = ";".join(map(memo.groups.__getitem__, found))
-                place.append(np.full(len(found), r))
-                number.append(np.array(found, np.int64))
-            if not place:
-                continue
-            place, number = np.concatenate(place), np.concatenate(number)
-            start, links = memo.arrays()
-            size = start[number + 1] - start[number]
-            at = np.arange(size.sum()) + np.repeat(start[number] - (np.cumsum(size) - size), size)
-            every = np.sort((np.repeat(place, size) << 40) | links[at])
-            new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            often = np.diff(np.append(new, len(every)))
-            row = every[new] >> 40
-            keys.append((every[new] & ((1 << 40) - 1)).astype(np.int64))
-            times.append(often)
-            sizes[first : first + rows] = np.bincount(row, minlength=rows)
-            counts[3, first : first + rows] = np.bincount(row, often, rows)
+                text = ";".join([x[0] for x in found])
+                whole[first + r] = text if groups else hashlib.sha256(text.encode()).hexdigest()
+                pair, often = np.unique(np.frombuffer(b"".join([x[1] for x in found]), np.int64), return_counts=True)
+                keys.append(pair)
+                times.append(often)
+                sizes[first + r] = len(pair)
+                counts[:, first + r] = len(a), len(b), n_groups, often.sum()
         offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, times)]
         pairs = [
             pa.ListArray.from_arrays(offsets, pa.array(x, kind))
             for x, kind in zip(flat, (pa.int64(), pa.int32()), strict=True)
         ]
-        if not groups:
-            whole = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in whole]
         return [*map(pa.array, counts), pa.array(whole, pa.string()), *pairs]
 
     return columns

@@ -6,8 +6,10 @@ single word is one). A border phrase that turns out frequent may have frequent e
 were not counted yet; further passes count only these, until no border phrase fails. Then every
 frequent phrase has been counted, in the whole corpus, exactly.
 
-What is known to be frequent is handed to the tasks as a bitmap of fixed size. Bits that meet by
-chance make a pass count more phrases than it has to, never fewer, so counts stay exact.
+Phrases fall into a fixed number of hash cells. A pass first adds up its candidates by cell, two
+bytes each, and then counts, by their text, those whose cell reaches the support. What is known
+to be frequent is a bitmap of cells too. Phrases that share a cell by chance make a pass count
+more of them than it has to, never fewer, so counts stay exact.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from tidemark.operators.stage import freeze
 
 from .blocks import BLOCK_BYTES, LOWER, blocks, mix, prefix_sums, span_hashes
 
-#: The bitmap of known phrases has this power of two of bits: 8 MB.
-FILTER_BITS = 26
+#: There are this power of two of cells; a bitmap of them takes 8 MB. Cells are added up in ranges
+#: of 65,536, and a task sends its candidates on after so many.
+CELL_BITS = 26
+RANGE_BITS = 16
+HELD = 2_000_000
 
 # Piece ends are . , ; : ! ? and the bytes 0A to 0D; blank and tab stand between words.
 _STOP = np.zeros(256, bool)
@@ -85,8 +90,8 @@ def _lang_hashes(langs: pa.Array) -> np.ndarray:
     return value[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-class Bits:
-    """Membership of hashes in a bitmap; None holds nothing."""
+class Cells:
+    """The cells of hashes, and which of them a bitmap holds; None holds nothing."""
 
     def __init__(self, packed: np.ndarray | None, bits: int) -> None:
         self.packed, self.shift = packed, np.uint64(64 - bits)
@@ -98,95 +103,165 @@ class Bits:
         return (self.packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _counts(known: Bits, before: Bits | None, sizes: range):
-    """Phrases of ``sizes`` words whose longest proper parts are all known, counted by block.
-
-    With ``before``, only those of which a part was not known then.
+@dataclass(frozen=True)
+class Pass:
+    """What a pass over the texts counts: phrases of ``sizes`` words whose longest proper parts
+    are ``known``; with ``before``, only those of which a part was not known then."""
+
+    sizes: range
+    bits: int
+    known: object = None
+    before: object = None
+
+    def candidates(self):
+        """(batch) to (word stream, size, places, hashes, known) of each block with candidates."""
+        known = Cells(self.known and self.known.value, self.bits)
+        before = Cells(self.before.value, self.bits) if self.before else None
+
+        def found(batch: pa.RecordBatch):
+            seeds = _lang_hashes(batch.column(0))
+            for first, _, buf, offs in blocks(batch.column(1)):
+                if not offs[-1]:
+                    continue
+                data, start, end, piece, doc = word_stream(buf, offs)
+                stream, parts = (data, start, end, first + doc), None
+                sums, seed = prefix_sums(data), seeds[first + doc]
+                for n in range(max(1, self.sizes.start - 1), min(self.sizes.stop, len(piece) + 1)):
+                    k = len(piece) - n + 1
+                    value = mix(span_hashes(sums, start[:k], end[n - 1 :]) ^ seed[:k])
+                    held = known(value), before(value) if before else None
+                    if n in self.sizes:
+                        wanted = piece[:k] == piece[n - 1 :]
+                        if n > 1:
+                            wanted &= parts[0][:-1] & parts[0][1:]
+                            if before:
+                                wanted &= ~(parts[1][:-1] & parts[1][1:])
+                        at = np.flatnonzero(wanted)
+                        if len(at):
+                            yield stream, n, at, value[at], held[0][at]
+                    parts = held
+
+        return found
+
+
+def full_cells(texts: DataFrame, what: Pass, least: int) -> np.ndarray:
+    """Bitmap of the cells whose candidates occur ``least`` times or more in ``texts``.
+
+    Tasks send sorted cells on by range, with their number where it is more than one; a range is
+    added up in one array of fixed size, from a stream of what tasks sent.
     """
+    low = (1 << RANGE_BITS) - 1
+
+    def sent(cells: np.ndarray) -> pa.RecordBatch:
+        cell, often = np.unique(cells, return_counts=True)
+        part = cell >> RANGE_BITS
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        once, more, times = [], [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            single = often[a:b] == 1
+            own = (cell[a:b] & low).astype(np.uint16)
+            once.append(own[single].tobytes())
+            more.append(own[~single].tobytes())
+            times.append(often[a:b][~single].astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[cuts[:-1]].astype(np.int32)), *[pa.array(x, pa.binary()) for x in (once, more, times)]],
+            names=["part", "once", "more", "times"],
+        )
 
-    def columns(batch: pa.RecordBatch):
-        langs = batch.column(0)
-        seeds = _lang_hashes(langs)
-        for first, rows, buf, offs in blocks(batch.column(1), 2 * BLOCK_BYTES):
-            if not offs[-1]:
-                continue
-            data, start, end, piece, doc = word_stream(buf, offs)
-            if not len(start):
-                continue
-            if 1 in sizes:  # word totals travel as a phrase of no words
-                held = np.bincount(doc, minlength=rows)
-                of = np.flatnonzero(held)
-                none = pa.nulls(len(of), pa.string())
-                zero, no = pa.array(np.zeros(len(of), np.int64)), pa.array(np.zeros(len(of), bool))
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(first + of)), none, zero.cast(pa.int32()), pa.array(held[of]), zero, no],
-                    names=NAMES,
-                )
-            sums, seed = prefix_sums(data), seeds[first + doc]
-            parts, n_words = {}, len(start)
-            for n in range(max(1, sizes.start - 1), sizes.stop):
-                k = n_words - n + 1
-                if k <= 0:
-                    break
-                whole = piece[:k] == piece[n - 1 :]
-                value = mix(span_hashes(sums, start[:k], end[n - 1 :]) ^ seed[:k])
-                parts[n] = known(value), before(value) if before else None
-                if n not in sizes:
-                    continue
-                wanted = whole
-                if n > 1:
-                    held, held_before = parts[n - 1]
-                    wanted = whole & held[:-1] & held[1:]
-                    if before:
-                        wanted &= ~(held_before[:-1] & held_before[1:])
-                at = np.flatnonzero(wanted)
-                if not len(at):
+    def send(batches):
+        found, kept, size = what.candidates(), [], 0
+        shift = np.uint64(64 - what.bits)
+        for batch in batches:
+            for _, _, _, value, _ in found(batch):
+                kept.append((value >> shift).astype(np.int64))
+                size += len(value)
+                if size > HELD:
+                    yield sent(np.concatenate(kept))
+                    kept, size = [], 0
+        if kept:
+            yield sent(np.concatenate(kept))
+
+    def add_up(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, once, more, times in zip(*(batch.column(k) for k in range(4)), strict=True):
+                own = sums.setdefault(part.as_py(), np.zeros(low + 1, np.int64))
+                own[np.frombuffer(once.as_buffer(), np.uint16)] += 1
+                own[np.frombuffer(more.as_buffer(), np.uint16)] += np.frombuffer(times.as_buffer(), np.uint32)
+        full = {p: np.packbits(x >= least, bitorder="little").tobytes() for p, x in sums.items() if x.max() >= least}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(full), pa.int32()), pa.array(list(full.values()), pa.binary())], names=["part", "bits"]
+        )
+
+    packed = np.zeros(1 << (what.bits - 3), np.uint8)
+    bytes_of = 1 << (RANGE_BITS - 3)
+    rows = (
+        texts.mapInArrow(send, "part int, once binary, more binary, times binary")
+        .repartition("part")
+        .mapInArrow(add_up, "part int, bits binary")
+    )
+    for r in rows.toLocalIterator():
+        packed[r["part"] * bytes_of : (r["part"] + 1) * bytes_of] = np.frombuffer(r["bits"], np.uint8)
+    return packed
+
+
+NAMES = ["lang", "phrase", "size", "often", "hash", "known"]
+
+
+def counted(texts: DataFrame, what: Pass, full, totals: bool = False) -> DataFrame:
+    """(lang, phrase, size, f, hash, known) of the candidates whose cell is in the bitmap ``full``
+    (all of them without one), counted exactly; with ``totals`` also the words of each language,
+    as a row without a phrase."""
+
+    def run(batches):
+        found = what.candidates()
+        enough = Cells(full.value, what.bits) if full else lambda value: np.ones(len(value), bool)
+        for batch in batches:
+            langs = batch.column(0)
+            for (data, start, end, doc), n, at, value, held in found(batch):
+                if n == 1 and totals:
+                    words = np.bincount(doc[at], minlength=len(langs))
+                    of = np.flatnonzero(words)
+                    zero = np.zeros(len(of), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            langs.take(pa.array(of)), pa.nulls(len(of), pa.string()),
+                            pa.array(zero, pa.int32()), pa.array(words[of]), pa.array(zero), pa.array(zero > 0),
+                        ],
+                        names=NAMES,
+                    )
+                kept = np.flatnonzero(enough(value))
+                if not len(kept):
                     continue
-                order = at[np.argsort(value[at], kind="stable")]
+                order = kept[np.argsort(value[kept], kind="stable")]
                 new = np.flatnonzero(np.concatenate([[True], value[order[1:]] != value[order[:-1]]]))
                 often, one = np.diff(np.append(new, len(order))), order[new]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        langs.take(pa.array(first + doc[one])),
-                        _spans(data, start[one], end[one + n - 1]),
+                        langs.take(pa.array(doc[at[one]])),
+                        _spans(data, start[at[one]], end[at[one] + n - 1]),
                         pa.array(np.full(len(one), n, np.int32)),
                         pa.array(often),
                         pa.array(value[one].view(np.int64)),
-                        pa.array(parts[n][0][one]),
+                        pa.array(held[one]),
                     ],
                     names=NAMES,
                 )
 
-    return columns
-
-
-NAMES = ["lang", "phrase", "size", "often", "hash", "known"]
-FIELDS = "lang string, phrase string, size int, often bigint, hash bigint, known boolean"
-
-
-def counted(texts: DataFrame, known, before, sizes: range, bits: int) -> DataFrame:
-    """(lang, phrase, size, f, hash, known): exact counts over ``texts`` (lang, text)."""
-
-    def run(batches):
-        old = Bits(before.value, bits) if before is not None else None
-        columns = _counts(Bits(known.value if known is not None else None, bits), old, sizes)
-        for batch in batches:
-            yield from columns(batch)
-
     return (
-        texts.mapInArrow(run, FIELDS)
+        texts.mapInArrow(run, "lang string, phrase string, size int, often bigint, hash bigint, known boolean")
         .groupBy("lang", "phrase")
         .agg(
-            F.max("size").alias("size"),
             F.sum("often").alias("f"),
+            F.max("size").alias("size"),
             F.max("hash").alias("hash"),
             F.max("known").alias("known"),
         )
     )
 
 
-def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
-    """The bits of the phrases' hashes. Made on the executors; at most ``2**bits / 8`` bytes return."""
+def cells_of(phrases: DataFrame, bits: int) -> np.ndarray:
+    """The cells of counted phrases. Made on the executors; at most ``2**bits / 8`` bytes return."""
     position = F.shiftrightunsigned("hash", 64 - bits) + 1
     slots = (
         phrases.select(position.alias("at"))
@@ -200,41 +275,36 @@ def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
     return packed
 
 
-def frequent_phrases(texts: DataFrame, mining: Mining, *, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(texts: DataFrame, mining: Mining, *, bits: int = CELL_BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, f) of every phrase with ``support`` occurrences, (lang, n) word totals).
 
     ``texts`` has lang (not null) and text.
     """
-    context = texts.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64("text"), F.lit(mining.sample_parts)) == 0
-    sample = texts.where(part)
-    known = packed = None
+    share = texts.sparkSession.sparkContext.broadcast
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(mining.sample_parts)) == 0)
+    packed, known = np.zeros(1 << (bits - 3), np.uint8), None
     for n in range(1, mining.longest + 1):
-        level = counted(sample, known, None, range(n, n + 1), bits).where(
-            (F.col("f") >= mining.sample_support) & F.col("phrase").isNotNull()
-        )
-        level = bitmap(level, bits)
-        if n > 1 and not level.any():
+        level = full_cells(sample, Pass(range(n, n + 1), bits, known), mining.sample_support)
+        packed = packed | level
+        known = share(packed)
+        if not level.any():
             break
-        packed = level if packed is None else packed | level
-        known = context.broadcast(packed)
-    every = counted(texts, known, None, range(1, mining.longest + 1), bits).where(
-        (F.col("f") >= mining.support) | F.col("phrase").isNull()
-    )
-    every = freeze(every)
-    totals = every.where("phrase is null").select("lang", F.col("f").alias("n"))
-    proposed = every.where("phrase is not null")
+
+    often = (F.col("f") >= mining.support) | F.col("phrase").isNull()
+    first = Pass(range(1, mining.longest + 1), bits, known)
+    full = share(full_cells(texts, first, mining.support))
+    found = freeze(counted(texts, first, full, totals=True).where(often))
+    totals = found.where("phrase is null").select("lang", F.col("f").alias("n"))
+    frequent = found = found.where("phrase is not null")
     while True:
-        failed = proposed.where(~F.col("known") & (F.col("size") < mining.longest))
-        more = bitmap(failed, bits)
-        if not (more & ~packed).any():  # every border phrase held
-            return proposed.select("lang", "phrase", "size", "f"), totals
-        packed = packed | more
-        before, known = known, context.broadcast(packed)
-        found = freeze(
-            counted(texts, known, before, range(2, mining.longest + 1), bits).where(F.col("f") >= mining.support)
-        )
-        proposed = proposed.withColumn("known", F.lit(True)).unionByName(found)
+        failed = cells_of(found.where(~F.col("known") & (F.col("size") < mining.longest)), bits)
+        if not (failed & ~packed).any():  # every border phrase held
+            return frequent.select("lang", "phrase", "size", "f"), totals
+        packed, before = packed | failed, known
+        known = share(packed)
+        further = Pass(range(2, mining.longest + 1), bits, known, before)
+        found = freeze(counted(texts, further, None).where(often))  # few, so without cells
+        frequent = frequent.unionByName(found)
 
 
 def _words(phrase: Column) -> Column:
@@ -248,7 +318,7 @@ def collocations(
     mining: Mining = Mining(),
     lang: str = "lang",
     text: str = "text",
-    bits: int = FILTER_BITS,
+    bits: int = CELL_BITS,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by score.
 
