@@ -311,43 +311,64 @@ def threshold_curve(
     return curve.select("threshold", *[e.alias(n) for n, e in parts.items()], "rows")
 
 
-def tune_threshold(
+def tune_thresholds(
     df: DataFrame,
     label: str,
     score: str,
+    objectives: tuple[str, ...],
     *,
-    objective: str = "f1",
     thresholds: list[float] | None = None,
     target_recall: float | None = None,
 ) -> DataFrame:
-    """One row with the best threshold; equal values go to the higher threshold."""
+    """The best threshold by each objective, a row each, from one curve and one aggregate over it;
+    equal values go to the higher threshold."""
     # fixed values: accepted long names of two objectives
-    name = objective.lower().replace("-", "_").replace(" ", "_")
-    name = {"max_f1": "f1", "max_recall": "recall"}.get(name, name)
-    if name not in OBJECTIVES:
+    alias = {"max_f1": "f1", "max_recall": "recall"}
+    names = [o.lower().replace("-", "_").replace(" ", "_") for o in objectives]
+    names = [alias.get(n, n) for n in names]
+    if not set(names) <= set(OBJECTIVES):
         raise ValueError(f"objective must be one of {OBJECTIVES}")
-    if name == "target_recall" and not (target_recall and 0.0 < target_recall <= 1.0):
+    if "target_recall" in names and not (target_recall and 0.0 < target_recall <= 1.0):
         raise ValueError("This objective needs a target_recall above 0, at most 1")
     curve = threshold_curve(df, label, score, thresholds=thresholds)
-    if name == "target_recall":
-        if not df.where(F.col(label) == 1).limit(1).count():
-            raise ValueError("A target recall has no meaning without positive labels")
-        value = F.when(F.col("recall") >= F.lit(float(target_recall)), F.col("precision"))
-        shown = f"precision_at_recall_{target_recall:g}"
-    else:
-        value, shown = F.col(name), objective
-    # Values that differ only by rounding noise count as equal.
-    valued = curve.withColumn("value", value)
-    best = F.max(F.struct(F.round("value", 9).alias("v"), "threshold", "value"))
-    return valued.agg(
-        best.alias("b"), F.max("rows").alias("validation_sample_size"),
-        F.count("*").alias("candidate_count"),
-    ).select(
-        F.col("b.threshold").alias("threshold"),
-        F.lit(shown).alias("objective"),
-        F.col("b.value").alias("objective_value"),
-        "validation_sample_size",
-        "candidate_count",
+    if "target_recall" in names and not df.where(F.col(label) == 1).limit(1).count():
+        raise ValueError("A target recall has no meaning without positive labels")
+    best, shown = [], []
+    for k, (name, objective) in enumerate(zip(names, objectives, strict=True)):
+        value = F.col(name) if name != "target_recall" else F.when(
+            F.col("recall") >= F.lit(float(target_recall)), F.col("precision")
+        )
+        shown.append(objective if name != "target_recall" else f"precision_at_recall_{target_recall:g}")
+        # Values that differ only by rounding noise count as equal.
+        best.append(F.max(F.struct(F.round(value, 9).alias("v"), "threshold", value.alias("value"))).alias(f"b{k}"))
+    row = curve.agg(
+        *best, F.max("rows").alias("validation_sample_size"), F.count("*").alias("candidate_count")
+    )
+    cells = [
+        F.struct(
+            F.col(f"b{k}.threshold").alias("threshold"),
+            F.lit(text).alias("objective"),
+            F.col(f"b{k}.value").alias("objective_value"),
+        )
+        for k, text in enumerate(shown)
+    ]
+    return row.select(F.explode(F.array(*cells)).alias("b"), "validation_sample_size", "candidate_count").select(
+        "b.*", "validation_sample_size", "candidate_count"
+    )
+
+
+def tune_threshold(
+    df: DataFrame,
+    label: str,
+    score: str,
+    *,
+    objective: str = "f1",
+    thresholds: list[float] | None = None,
+    target_recall: float | None = None,
+) -> DataFrame:
+    """One row with the best threshold; equal values go to the higher threshold."""
+    return tune_thresholds(
+        df, label, score, (objective,), thresholds=thresholds, target_recall=target_recall
     )
 
 

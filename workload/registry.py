@@ -605,14 +605,11 @@ def _(spark, sf):
 def _(spark, sf):
     """The best threshold by every objective."""
     _, s = eligible(spark, sf)
-    rows = latest_scored(s)
-    parts = [
-        metrics.tune_threshold(
-            rows, "label", SCORE, objective=o, target_recall=0.5 if o == "target_recall" else None
+    return rounded(
+        metrics.tune_thresholds(
+            latest_scored(s), "label", SCORE, metrics.OBJECTIVES, target_recall=0.5
         )
-        for o in metrics.OBJECTIVES
-    ]
-    return rounded(quality.union_all(parts))
+    )
 
 
 @query("threshold_grid")
