@@ -25,7 +25,13 @@ def labelled(
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, y, text) of the sampled documents. The sample is bounded, hence the broadcast."""
-    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
+    """(id, y, text) of the sampled documents, one row for each id and label.
+
+    Of several texts under one id the smallest counts, so the bound on the sample also bounds
+    what is read; each task keeps one text for an id before anything is shuffled. The sample is
+    bounded, hence the broadcast.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(sample), F.col("id") == F.col("labelled_id")
-    ).select("id", "y", "text")
+    )
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text"))
