@@ -205,11 +205,11 @@ def full_cells(texts: DataFrame, what: Pass, least: int) -> np.ndarray:
     return packed
 
 
-NAMES = ["lang", "phrase", "size", "often", "hash", "known"]
+NAMES = ["lang", "phrase", "often", "known"]
 
 
 def counted(texts: DataFrame, what: Pass, full, totals: bool = False) -> DataFrame:
-    """(lang, phrase, size, f, hash, known) of the candidates whose cell is in the bitmap ``full``
+    """(lang, phrase, size, f, known) of the candidates whose cell is in the bitmap ``full``
     (all of them without one), counted exactly; with ``totals`` also the words of each language,
     as a row without a phrase."""
 
@@ -222,14 +222,15 @@ def counted(texts: DataFrame, what: Pass, full, totals: bool = False) -> DataFra
                 if n == 1 and totals:
                     words = np.bincount(doc[at], minlength=len(langs))
                     of = np.flatnonzero(words)
-                    zero = np.zeros(len(of), np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            langs.take(pa.array(of)), pa.nulls(len(of), pa.string()),
-                            pa.array(zero, pa.int32()), pa.array(words[of]), pa.array(zero), pa.array(zero > 0),
+                            langs.take(pa.array(of)),
+                            pa.nulls(len(of), pa.string()),
+                            pa.array(words[of]),
+                            pa.array(np.zeros(len(of), bool)),
                         ],
                         names=NAMES,
-                    )
+                    )
                 kept = np.flatnonzero(enough(value))
                 if not len(kept):
                     continue
@@ -240,31 +241,40 @@ def counted(texts: DataFrame, what: Pass, full, totals: bool = False) -> DataFra
                     [
                         langs.take(pa.array(doc[at[one]])),
                         _spans(data, start[at[one]], end[at[one] + n - 1]),
-                        pa.array(np.full(len(one), n, np.int32)),
                         pa.array(often),
-                        pa.array(value[one].view(np.int64)),
                         pa.array(held[one]),
                     ],
                     names=NAMES,
                 )
 
     return (
-        texts.mapInArrow(run, "lang string, phrase string, size int, often bigint, hash bigint, known boolean")
+        texts.mapInArrow(run, "lang string, phrase string, often bigint, known boolean")
         .groupBy("lang", "phrase")
-        .agg(
-            F.sum("often").alias("f"),
-            F.max("size").alias("size"),
-            F.max("hash").alias("hash"),
-            F.max("known").alias("known"),
-        )
+        .agg(F.sum("often").alias("f"), F.max("known").alias("known"))
+        .withColumn("size", F.size(_words(F.col("phrase"))))
     )
 
 
+def with_hash(phrases: DataFrame) -> DataFrame:
+    """(hash) of each phrase (lang, phrase), the one that decides on its cell in a text."""
+
+    def run(batches):
+        for batch in batches:
+            seeds = _lang_hashes(batch.column(0))
+            for first, rows, buf, offs in blocks(batch.column(1)):
+                value = span_hashes(prefix_sums(buf), offs[:-1], offs[1:])
+                value = mix(value ^ seeds[first : first + rows]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(value)], names=["hash"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "hash bigint")
+
+
 def cells_of(phrases: DataFrame, bits: int) -> np.ndarray:
     """The cells of counted phrases. Made on the executors; at most ``2**bits / 8`` bytes return."""
     position = F.shiftrightunsigned("hash", 64 - bits) + 1
     slots = (
-        phrases.select(position.alias("at"))
+        with_hash(phrases)
+        .select(position.alias("at"))
         .groupBy(F.bitmap_bucket_number("at").alias("slot"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     )
