@@ -142,7 +142,9 @@ def test_alignment_quality_equals_plain_counts(odd, common):
 def test_alignment_of_empty_table_and_kept_columns(odd):
     assert alignment.alignment_quality(odd.where("1 = 0")).count() == 0
     out = alignment.aligned(odd.where("doc_id = 4"), alignment.vocabulary_files())
-    assert out.columns[:3] == ["doc_id", "lang", "row"] and out.where("groups like '%|%'").count() == 2
+    assert out.columns[:3] == ["doc_id", "text", "lang"] and len(set(out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert len(rows) == 2 and all("|" in r["groups"] and r["row"] == "x" for r in rows)
 
 
 # --- collocations -------------------------------------------------------------------------

@@ -155,19 +155,14 @@ def suffix_statistics(labelled: DataFrame) -> DataFrame:
     )
 
 
-def with_shares(urls: DataFrame, statistics: DataFrame, overall: float, own: Column | None = None) -> DataFrame:
-    """Smoothed share of blocked URLs and (logarithmic) number of URLs of each suffix.
-
-    ``own`` is the label of a row that is itself among those counted; it is taken out again.
-    """
+def with_shares(urls: DataFrame, statistics: DataFrame, overall: float) -> DataFrame:
+    """Smoothed share of blocked URLs and (logarithmic) number of URLs of each suffix."""
     out = urls
     for k in range(3):
         table = statistics.where(F.col("kind") == k).select(
             F.col("bucket").alias(f"suffix{k}"), F.col("n").alias("_n"), F.col("blocked").alias("_blocked")
         )
         n, blocked = F.coalesce("_n", F.lit(0)), F.coalesce("_blocked", F.lit(0))
-        if own is not None:
-            n, blocked = n - 1, blocked - own
         out = out.join(F.broadcast(table), f"suffix{k}", "left").withColumns(
             {
                 f"share{k}": (blocked + PRIOR * overall) / (n + PRIOR),
@@ -199,9 +194,10 @@ def _assembler() -> VectorAssembler:
 def fit_urls(labelled: DataFrame, *, limit: int = SAMPLE) -> UrlModel:
     """Trees fitted on labelled URLs: ``url``, ``host``, ``path`` and ``y`` (1: block).
 
-    Suffixes are counted over all of them; the trees see at most ``limit``, the first by a digest
-    of the url, so neither row order nor repeated rows matter. A single class gives its constant,
-    no labelled URL gives ``allow``.
+    The trees are fitted on one half of them, at most ``limit``, the first by a digest of the url;
+    suffixes are counted on the other half for that, so that no label stands in its own features,
+    and over all of them for scoring. Neither row order nor repeated rows matter. A single class
+    gives its constant, no labelled URL gives ``allow``.
     """
     rows = freeze(with_features(labelled.where("y is not null").dropDuplicates(["url", "y"])))
     total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).first()
@@ -209,8 +205,13 @@ def fit_urls(labelled: DataFrame, *, limit: int = SAMPLE) -> UrlModel:
         return UrlModel(None, None, float(total["n"] and total["blocked"] / total["n"]))
     overall = total["blocked"] / total["n"]
     statistics = freeze(suffix_statistics(rows))
-    chosen = rows.orderBy(F.md5("url"), "y").limit(limit)
-    sample = freeze(with_shares(chosen, statistics, overall, F.col("y")).select(*LEXICAL, *SHARES, F.col("y").cast("double")))
+    counting = F.crc32(F.coalesce("url", F.lit(""))) % 2 == 0
+    apart = freeze(suffix_statistics(rows.where(counting)))
+    chosen = rows.where(~counting).orderBy(F.md5("url"), "y").limit(limit)
+    sample = freeze(with_shares(chosen, apart, overall).select(*LEXICAL, *SHARES, F.col("y").cast("double")))
+    ends = sample.agg(F.min("y"), F.max("y")).first()
+    if ends[0] == ends[1]:
+        return UrlModel(None, None, overall)
     trees = GBTClassifier(
         labelCol="y", maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=5, seed=13, maxBins=32
     ).fit(_assembler().transform(sample))
