@@ -283,7 +283,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 def common_from(counts: DataFrame, limit: int) -> int:
     """The least power of two such that at most ``limit`` pairs have that many links."""
     sizes = counts.groupBy(F.floor(F.log2("links")).alias("k")).count().collect()
-    total, least = 0, 63
+    total, least = 0, 62
     for r in sorted(sizes, key=lambda r: -r["k"]):  # one row per power of two
         total += r["count"]
         if total > limit:
