@@ -1,8 +1,11 @@
 """How the plans spread their work, where the rows alone do not show it."""
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from tidemark.plans import models
 from tidemark.plans.cohort import by_patient
+from workload.registry import eligible
 
 
 def test_candidates_are_dealt_by_their_number(spark):
@@ -16,3 +19,24 @@ def test_candidates_are_dealt_by_their_number(spark):
     assert dealt.select(*pairs.columns).exceptAll(pairs).count() == 0 and dealt.count() == 2100
     homes = dealt.groupBy("patient_id").agg(F.count_distinct("task").alias("n"))
     assert homes.where("n <> 1").count() == 0
+
+
+def test_fills_are_derived_once(spark):
+    """Plans behind the eligible snapshots read the written fills, not their four source tables."""
+    tables, _ = eligible(spark, "/root/testdata/sf0.001")
+    files = tables["pharmacy_claims"].inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+
+
+def test_empty_buckets_are_left_out_of_the_fit(spark):
+    """A fit sees the buckets that hold training rows, and scores categories it never saw."""
+    rows = [(f"p{i}", float(i % 7), "a" if i % 3 else "b", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "patient_id string, x double, kind string, label int")
+    held = models.used_buckets(df, ["kind"])
+    assert len(held["kind"]) == 2
+    frame = models.with_buckets(df, ["kind"]).withColumn("label", F.col("label").cast("double"))
+    estimator = models.estimators(60, 1)["logistic_regression"]
+    fitted = Pipeline(stages=models._stages(["x"], ["kind"], estimator, scale=True, used=held)).fit(frame)
+    assert fitted.stages[-1].numFeatures == 3
+    new = models.with_buckets(df.withColumn("kind", F.lit("never seen")), ["kind"])
+    assert fitted.transform(new).where("probability is not null").count() == 60
