@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter
 
 import pyarrow as pa
@@ -119,6 +120,27 @@ def test_windows_without_a_blank_and_a_small_memo(monkeypatch, tokenizers):
     ]
 
 
+def test_no_python_step_for_each_window():
+    """Calls made over a text do not grow with its words."""
+    columns, calls = alignment._documents(alignment.vocabulary_files(), False), []
+    for text in (LONG[:5000], LONG):
+        own = []
+        sys.setprofile(lambda frame, event, arg, own=own: own.append(event))
+        try:
+            columns(pa.array([text]))
+        finally:
+            sys.setprofile(None)
+        calls.append(len(own))
+    assert calls[1] < calls[0] + 200
+
+
+def test_texts_of_a_block_equal_texts_alone():
+    texts = [*TEXTS, "a", "a", "ab" * 3000, *TEXTS[::-1]]
+    columns = alignment._documents(alignment.vocabulary_files(), True)
+    alone = [[c.to_pylist()[0] for c in columns(pa.array([t], pa.string()))] for t in texts]
+    assert [list(x) for x in zip(*(c.to_pylist() for c in columns(pa.array(texts))), strict=True)] == alone
+
+
 @pytest.mark.parametrize("common", [500_000, 3])
 def test_alignment_quality_equals_plain_counts(odd, common):
     docs = odd.where("text is null or length(text) < 1000")

@@ -1,9 +1,9 @@
 """Alignment of the tokens of two tokenizers over the same bytes.
 
-A text is tokenised whole by both. Where tokens of both end at one byte and both next tokens
-carry a space mark, the text is cut into windows; a window's alignment depends on its token
-ids alone, so it is worked out once per tuple of ids and looked up afterwards. Links are counted
-over the corpus, and every document is measured against those counts.
+A text is tokenised whole by both. The token ends of both cut its bytes into stretches, each inside
+one A and one B token, so the stretches are the links; a group ends where a stretch ends tokens of
+both. Texts of a block are worked through at once: the end of a text ends a group. Links are
+counted over the corpus, and every document is measured against those counts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import json
 import os
 import uuid
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +24,7 @@ from tidemark.operators.stage import checkpoint_dir, freeze
 from .blocks import blocks, with_text_columns
 
 TOKENIZERS = "/opt/tokenizers"
-#: Distinct windows in a generation of a task's memo, and the most tokens of a window that is
-#: looked up instead of aligned in place.
+#: Without effect since nothing is looked up by window any more; an existing test still sets them.
 MEMO_WINDOWS = 100_000
 MEMO_TOKENS = 64
 #: Id pairs that are broadcast with their counts (16 bytes each); rarer ones are joined by shuffle.
@@ -92,9 +90,6 @@ class Tokenizers:
         self.a_size, self.b_size = (
             np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)
         )
-        self.a_mark, self.b_mark = (
-            np.array([x[:1] == b" " for x in table]) for table in (self.a_bytes, self.b_bytes)
-        )
 
     def _piece(self, k: int) -> bytes:
         piece = self._b.id_to_piece(k)
@@ -113,83 +108,47 @@ class Tokenizers:
         return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def window_alignment(
-    a: tuple[int, ...], b: tuple[int, ...], a_size: list[int], b_size: list[int]
-) -> tuple[str, list[int]]:
-    """(groups, linked pairs) of a window. Each step links the tokens over one stretch without an end."""
-    groups, pairs = [], []
-    i = j = 0
-    x, y = a[0], b[0]
-    end_a, end_b, left, right = a_size[x], b_size[y], str(x), str(y)
-    while True:
-        pairs.append(x << PAIR_BITS | y)
-        if end_a < end_b:
-            i += 1
-            x = a[i]
-            end_a += a_size[x]
-            left += f",{x}"
-        elif end_b < end_a:
-            j += 1
-            y = b[j]
-            end_b += b_size[y]
-            right += f",{y}"
-        else:
-            groups.append(f"{left}|{right}")
-            i += 1
-            j += 1
-            if i == len(a):  # both end here
-                return ";".join(groups), pairs
-            x, y = a[i], b[j]
-            end_a += a_size[x]
-            end_b += b_size[y]
-            left, right = str(x), str(y)
-
-
-class Memo:
-    """Window alignments by id tuples, in two generations.
-
-    A full generation becomes the old one, and what is looked up there moves on; so windows
-    that recur stay, and rare ones go.
-    """
-
-    def __init__(self, tokenizers: Tokenizers) -> None:
-        self.a_size, self.b_size = tokenizers.a_size.tolist(), tokenizers.b_size.tolist()
-        self.young: dict[tuple, tuple[str, bytes]] = {}
-        self.old: dict[tuple, tuple[str, bytes]] = {}
-
-    def trim(self) -> None:
-        if len(self.young) > MEMO_WINDOWS:
-            self.old, self.young = self.young, {}
-
-    def find(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, bytes]:
-        """(groups, pairs as 64-bit numbers) of a window that the young generation lacks."""
-        known = self.old.get(key)
-        if known is None:
-            groups, pairs = window_alignment(*key, self.a_size, self.b_size)
-            known = groups, array("q", pairs).tobytes()
-            if len(key[0]) + len(key[1]) > MEMO_TOKENS:
-                return known
-        self.young[key] = known
-        return known
-
-
-def windows_of(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ends of the windows, in tokens of A and of B, and the number of groups."""
+def stretches(
+    a: np.ndarray, b: np.ndarray, t: Tokenizers
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, whether an A token ends, whether a B token ends) of each stretch between token ends."""
     end_a, end_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
-    at = np.searchsorted(end_b, end_a)
-    shared = np.flatnonzero(end_b[at] == end_a)  # both end with the text, so at is in range
-    other = at[shared]
-    last = shared == len(a) - 1
-    marked = np.zeros(len(shared), bool)
-    inner = np.flatnonzero(~last)
-    marked[inner] = t.a_mark[a[shared[inner] + 1]] & t.b_mark[b[other[inner] + 1]]
-    cut = marked | last
-    return shared[cut] + 1, other[cut] + 1, len(shared)
+    ends = np.zeros(int(end_a[-1]) + 1, np.uint8)
+    ends[end_a] = 1
+    ends[end_b] |= 2
+    at = np.flatnonzero(ends)
+    kind = ends[at]
+    return at, (kind & 1) > 0, kind > 1
+
+
+def spelled_ids(t: Tokenizers) -> np.ndarray:
+    """Each id with what follows it: A inside a group and at the end of its side, then B likewise."""
+    return np.array(
+        [f"{k}{mark}".encode() for mark, side in ((",", t.a_size), ("|", t.a_size), (",", t.b_size), (";", t.b_size)) for k in range(len(side))]
+    )
+
+
+def block_alignment(
+    a: np.ndarray, b: np.ndarray, size: np.ndarray, t: Tokenizers
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(linked pairs, their border by text, groups by text, rows of ``spelled_ids`` in order of the
+    groups) of the tokens of consecutive texts of ``size`` bytes."""
+    at, in_a, in_b = stretches(a, b, t)
+    to_a, to_b, shared = np.cumsum(in_a), np.cumsum(in_b), in_a & in_b
+    pairs = a[to_a - in_a] << PAIR_BITS | b[to_b - in_b]
+    border = np.append(0, np.searchsorted(at, np.cumsum(size)) + 1)
+    group = np.append(0, np.cumsum(shared))
+    # A tokens stand behind the B tokens of earlier groups, B tokens behind the A tokens of their own group too.
+    before, through = np.append(0, to_b[shared]), to_a[shared]
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + before[group[:-1][in_a]]] = a + len(t.a_size) * shared[in_a]
+    code[np.arange(len(b)) + through[group[:-1][in_b]]] = b + 2 * len(t.a_size) + len(t.b_size) * shared[in_b]
+    return pairs, border, np.diff(group[border]), code
 
 
 def _documents(files: Files, groups: bool):
     t = Tokenizers(files)
-    memo = Memo(t)
+    spelled = spelled_ids(t)
 
     def columns(texts: pa.Array) -> list[pa.Array]:
         n = len(texts)
@@ -197,28 +156,29 @@ def _documents(files: Files, groups: bool):
         whole = [""] * n
         keys, times, sizes = [], [], np.zeros(n, np.int64)
         for first, rows, buf, offs in blocks(texts):
-            memo.trim()
-            young, find = memo.young, memo.find
+            at, size, a, b = [], [], [], []
             for r in range(rows):
                 raw = buf[offs[r] : offs[r + 1]].tobytes()
                 tokens = t.encode(raw.decode()) if raw else None
-                if tokens is None:
-                    continue
-                a, b = tokens
-                cut_a, cut_b, n_groups = windows_of(a, b, t)
-                a, b = tuple(a.tolist()), tuple(b.tolist())
-                found, i, j = [], 0, 0
-                for p, q in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-                    key = (a[i:p], b[j:q])
-                    found.append(young.get(key) or find(key))
-                    i, j = p, q
-                text = ";".join([x[0] for x in found])
-                whole[first + r] = text if groups else hashlib.sha256(text.encode()).hexdigest()
-                pair, often = np.unique(np.frombuffer(b"".join([x[1] for x in found]), np.int64), return_counts=True)
+                if tokens is not None:
+                    at.append(first + r)
+                    size.append(len(raw) + 1)
+                    a.append(tokens[0])
+                    b.append(tokens[1])
+            if not at:
+                continue
+            n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+            pairs, border, n_groups, code = block_alignment(np.concatenate(a), np.concatenate(b), np.array(size), t)
+            counts[:, at] = n_a, n_b, n_groups, np.diff(border)
+            ends = np.append(0, np.cumsum(n_a + n_b)).tolist()
+            border = border.tolist()
+            for k, row in enumerate(at):
+                text = spelled[code[ends[k] : ends[k + 1]]].tobytes().translate(None, b"\0")[:-1]
+                whole[row] = text.decode() if groups else hashlib.sha256(text).hexdigest()
+                pair, often = np.unique(pairs[border[k] : border[k + 1]], return_counts=True)
                 keys.append(pair)
                 times.append(often)
-                sizes[first + r] = len(pair)
-                counts[:, first + r] = len(a), len(b), n_groups, often.sum()
+                sizes[row] = len(pair)
         offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, times)]
         pairs = [
