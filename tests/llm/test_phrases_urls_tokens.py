@@ -224,6 +224,13 @@ def test_phrases_equal_plain_counts(spark, bits, slack):
     assert sorted(tuple(r) for r in got.collect()) == plain_phrases(rows, 6, 30)
 
 
+def test_ranges_of_a_small_shuffle_stay_apart(spark):
+    """An array of a range takes 512 KB, so a task must not meet all 1,024 ranges."""
+    ranges = collocations.dealt(spark.range(1024).select(F.col("id").cast("int").alias("part")))
+    tasks = ranges.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 1024 and max(r["count"] for r in tasks) <= 64
+
+
 def test_phrases_on_odd_rows(odd, spark):
     mining = collocations.Mining(support=2)
     short = odd.where("text is null or length(text) < 1000")

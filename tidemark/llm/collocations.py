@@ -27,10 +27,12 @@ from tidemark.operators.stage import freeze
 from .blocks import BLOCK_BYTES, LOWER, blocks, mix, prefix_sums, span_hashes
 
 #: There are this power of two of cells; a bitmap of them takes 8 MB. Cells are added up in ranges
-#: of 65,536, and a task sends its candidates on after so many.
+#: of 65,536, a task sends its candidates on after so many, and at least so many tasks share the
+#: ranges: an array of a range takes 512 KB, whether one cell of it is in use or all are.
 CELL_BITS = 26
 RANGE_BITS = 16
 HELD = 2_000_000
+ADDERS = 32
 
 # Piece ends are . , ; : ! ? and the bytes 0A to 0D; blank and tab stand between words.
 _STOP = np.zeros(256, bool)
@@ -144,6 +146,13 @@ class Pass:
         return found
 
 
+def dealt(ranges: DataFrame) -> DataFrame:
+    """Rows by their range. The number is given, since Spark would put small shuffles into one task,
+    which would hold the arrays of all ranges."""
+    usual = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(max(ADDERS, usual), "part")
+
+
 def full_cells(texts: DataFrame, what: Pass, least: int) -> np.ndarray:
     """Bitmap of the cells whose candidates occur ``least`` times or more in ``texts``.
 
@@ -195,12 +204,8 @@ def full_cells(texts: DataFrame, what: Pass, least: int) -> np.ndarray:
 
     packed = np.zeros(1 << (what.bits - 3), np.uint8)
     bytes_of = 1 << (RANGE_BITS - 3)
-    rows = (
-        texts.mapInArrow(send, "part int, once binary, more binary, times binary")
-        .repartition("part")
-        .mapInArrow(add_up, "part int, bits binary")
-    )
-    for r in rows.toLocalIterator():
+    rows = dealt(texts.mapInArrow(send, "part int, once binary, more binary, times binary"))
+    for r in rows.mapInArrow(add_up, "part int, bits binary").collect():  # no more than the bitmap
         packed[r["part"] * bytes_of : (r["part"] + 1) * bytes_of] = np.frombuffer(r["bits"], np.uint8)
     return packed
 
