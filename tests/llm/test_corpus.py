@@ -229,6 +229,16 @@ def test_induced_sorting_with_and_without_disk():
         assert order == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_doubled_ranks_equal_plain_sorting():
+    rng = random.Random(2)
+    for _ in range(200):
+        n, depth = rng.randint(1, 80), rng.choice([1, 2, 3, 7, 100])
+        rank = [rng.randint(0, rng.choice([1, 3, 40])) for _ in range(n)]
+        order = induced._doubled(np.array(rank), depth).tolist()
+        first = [rank[k : k + depth] for k in order]
+        assert sorted(order) == list(range(n)) and first == sorted(first)
+
+
 def plain_cut(rows, length):
     seen = Counter(x[k : k + length] for _, x in rows for k in range(len(x) - length + 1))
     out = []
@@ -255,6 +265,29 @@ def test_repeated_strings_equal_plain_cut(spark, options):
     assert sorted((tuple(r) for r in found), key=str) == expected
 
 
+def test_cut_texts_are_returned_whole(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    long, short = text(60), text(15)
+    rows = [(1, text(50) + long + text(20) + short), (2, long + text(30)), (None, short + text(70)), (4, None), (4, "")]
+    rows += [(5, long + "x" * 90), (None, rows[0][1][:30]), (7, text(80)), (7, text(80))]
+    rows += [(8, rows[-1][1] + "z"), (9, rows[1][1]), (9, rows[1][1])]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, n int")
+    found = suffix_dedup.without_repeats(docs, length=40).collect()
+    assert sorted(r["n"] for r in found) == list(range(len(rows)))
+    plain = plain_cut([(r["n"], (r["text"] or "").encode()) for r in found], 40)
+    for r, (_, size, removed, spans, digest) in zip(sorted(found, key=lambda r: str(r["n"])), plain, strict=True):
+        body, last = (r["text"] or "").encode(), 0
+        kept = b""
+        for s in r["spans"]:
+            kept, last = kept + body[last : s["low"]], s["high"]
+        assert (r["doc_id"], r["text"]) == rows[r["n"]] and r["kept"] == kept + body[last:]
+        assert len(body) == size and len(r["kept"]) == size - removed and len(r["spans"]) == spans
+        assert hashlib.sha256(r["kept"]).hexdigest() == digest
+    assert any(0 < len(r["kept"]) < len((r["text"] or "").encode()) for r in found)
+    assert list(found[0].asDict()) == ["doc_id", "text", "n", "spans", "kept"]
+
+
 def test_odd_rows_of_suffix_dedup(odd, none):
     found = {r["doc_id"]: r for r in suffix_dedup.repeated_strings(odd).collect()}
     assert found[0]["n_bytes"] == 0 and found[8]["n_removed"] == len(LONG)
