@@ -239,6 +239,28 @@ def test_doubled_ranks_equal_plain_sorting():
         assert sorted(order) == list(range(n)) and first == sorted(first)
 
 
+def test_neighbours_that_reach_are_read_once_a_stretch():
+    rng = random.Random(3)
+    for _ in range(300):
+        length = rng.randint(1, 20)
+        base = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60)))
+        data = base + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 9))) + base[rng.randint(0, len(base)) :]
+        order = sorted(range(len(data) - length + 1), key=lambda k: data[k : k + length])
+        found = induced.reaching_neighbours(np.frombuffer(data, np.uint8), np.array(order, int), length)
+        seen = Counter(data[k : k + length] for k in order)
+        assert sorted(set(found.tolist())) == sorted(k for k in order if seen[data[k : k + length]] > 1)
+    # A long repeat is one stretch: its 400-byte windows are not read one by one.
+    data = bytes(rng.choice(b"abcd") for _ in range(3000)) * 2
+    order = np.array(sorted(range(len(data) - 399), key=lambda k: data[k : k + 400]))
+    compared = []
+    prefix, induced.common_prefix = induced.common_prefix, lambda d, a, b, n: compared.append(len(a)) or prefix(d, a, b, n)
+    try:
+        assert len(set(induced.reaching_neighbours(np.frombuffer(data, np.uint8), order, 400).tolist())) == 2 * 2601
+    finally:
+        induced.common_prefix = prefix
+    assert sum(compared) < 0.6 * len(order)
+
+
 def plain_cut(rows, length):
     seen = Counter(x[k : k + length] for _, x in rows for k in range(len(x) - length + 1))
     out = []
