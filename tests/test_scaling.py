@@ -3,9 +3,12 @@
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from tidemark.params import SequenceRules
 from tidemark.plans import models
 from tidemark.plans.cohort import by_patient
-from workload.registry import eligible
+from tidemark.plans.events import event_claims, raw_events
+from tidemark.plans.sequences import encode_claims, encode_sequences, fit_vocabularies
+from workload.registry import eligible, encoded
 
 
 def test_candidates_are_dealt_by_their_number(spark):
@@ -40,3 +43,62 @@ def test_empty_buckets_are_left_out_of_the_fit(spark):
     assert fitted.stages[-1].numFeatures == 3
     new = models.with_buckets(df.withColumn("kind", F.lit("never seen")), ["kind"])
     assert fitted.transform(new).where("probability is not null").count() == 60
+
+
+def test_events_are_not_shuffled_after_they_meet_their_snapshots(spark):
+    """Ranks and arrays of a sequence keep the patients' partitioning of the join."""
+    out, _ = encoded(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(patient_id" in plan and "hashpartitioning(snapshot_id" not in plan
+
+
+def test_sequences_of_claims_equal_those_of_events(spark):
+    """Repeated claims, reversals between two index dates, late ones and snapshots without any."""
+    day = lambda c: F.col(c).cast("date")
+    medical = spark.createDataFrame(
+        [
+            ("m1", "a", "2020-01-01", "2020-01-03", "final", "L4", "P1", "d1", "office"),
+            ("m1", "a", "2020-01-01", "2020-01-03", "final", "L4", "P1", "d1", "office"),
+            ("m2", "a", "2020-01-01", "2020-03-20", "rejected", "L4", None, "d9", "office"),
+            ("m3", "b", "2019-01-01", "2019-01-02", None, None, None, None, "office"),
+        ],
+        "claim_id string, patient_id string, claim_date string, available_date string, status string, "
+        "diagnosis_code string, procedure_code string, provider_id string, place_of_service string",
+    )
+    pharmacy = spark.createDataFrame(
+        [
+            ("f1", "a", "2020-02-01", "2020-02-02", "paid", "2020-03-15", "7", "conventional", "d2"),
+            ("f2", "a", "2020-02-01", "2020-02-02", None, None, "8", None, "d1"),
+            ("f3", "a", "2020-02-10", "2020-02-10", "paid", None, None, "other", "d1"),
+            ("f4", "c", "2020-02-01", None, "paid", None, "7", "conventional", "d2"),
+        ],
+        "claim_id string, patient_id string, fill_date string, available_date string, status string, "
+        "reversal_date string, drug_id string, therapy_class string, prescriber_id string",
+    )
+    tables = {
+        "medical_claims": medical.withColumns({c: day(c) for c in ("claim_date", "available_date")}),
+        "pharmacy_claims": pharmacy.withColumns(
+            {c: day(c) for c in ("fill_date", "available_date", "reversal_date")}
+        ),
+        "providers": spark.createDataFrame([("d1", "x"), ("d2", None)], "provider_id string, specialty string"),
+    }
+    marks = [(p, f"2020-0{m}-01") for p in "abc" for m in (2, 3, 4)]
+    snapshots = spark.createDataFrame(marks, "patient_id string, index_date string").select(
+        F.concat_ws("_", "patient_id", "index_date").alias("snapshot_id"),
+        "patient_id",
+        day("index_date").alias("index_date"),
+        F.date_sub(day("index_date"), 7).alias("feature_cutoff"),
+        F.date_sub(day("index_date"), 80).alias("lookback_start"),
+        F.lit(1).alias("label"),
+    )
+    claims, events = event_claims(tables, snapshots), raw_events(tables, snapshots)
+    assert claims.agg(F.sum("views")).first()[0] == events.count() > 10
+    for least in (1, 3):
+        words = fit_vocabularies(events, least)
+        same = fit_vocabularies(claims, least)
+        assert sorted(words.collect()) == sorted(same.collect())
+        for size in (2, 12):
+            rules = SequenceRules(max_length=size, min_frequency=least)
+            a = encode_sequences(events, snapshots, words, rules)
+            b = encode_claims(claims, snapshots, words, rules).select(*a.columns)
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 9
