@@ -3,12 +3,15 @@
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import exact_quantiles
 from tidemark.params import SequenceRules
 from tidemark.plans import models
 from tidemark.plans.cohort import by_patient
 from tidemark.plans.events import event_claims, raw_events
+from tidemark.plans.features import pharmacy_pass
 from tidemark.plans.sequences import encode_claims, encode_sequences, fit_vocabularies
 from workload.registry import eligible, encoded
+from workload.tables import STUDY
 
 
 def test_candidates_are_dealt_by_their_number(spark):
@@ -102,3 +105,18 @@ def test_sequences_of_claims_equal_those_of_events(spark):
             a = encode_sequences(events, snapshots, words, rules)
             b = encode_claims(claims, snapshots, words, rules).select(*a.columns)
             assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 9
+
+
+def test_fills_are_summed_by_hash(spark):
+    """Sums over the fills of a snapshot do not sort its rows a second time."""
+    tables, snapshots = eligible(spark, "/root/testdata/sf0.001")
+    plan = pharmacy_pass(tables, snapshots, STUDY)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_quantiles_read_their_cells_once(spark):
+    """Column sizes come from the running totals, so the values are not exploded again for them."""
+    df = spark.createDataFrame([(1, 2.0, None), (3, None, None), (8, 5.0, None)], "a int, b double, c double")
+    found = exact_quantiles(df, ["a", "b", "c"], 0.5)
+    assert {r["name"]: r["value"] for r in found.collect()} == {"a": 3.0, "b": 3.5}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
